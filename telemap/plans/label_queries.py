@@ -487,7 +487,7 @@ def procrustes(spark: SparkSession, folder: str) -> DataFrame:
         FROM aligned a JOIN embeddings ON vec_id = a.id"""
 )
 def compare_maps(spark: SparkSession, folder: str) -> DataFrame:
-    """Two aligned maps side y2 side."""
+    """Two aligned maps side by side."""
     points = plane(spark, folder)
     meta = points.select(
         "id", "label", F.concat(F.lit("vector "), F.col("id").cast("string")).alias("hover_text")
