@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemap.functions.text import UNLABELLED
-from telemap.session import cut
+from telemap.session import pin
 
 # A nested list longer than this is written as several rows, so that no single
 # record has to hold an unbounded group.
@@ -208,7 +208,7 @@ def number_rows(ordered: DataFrame, out: str) -> DataFrame:
     for that reason.  The input is materialised first so that both passes see
     the same partitions.
     """
-    fixed = cut(ordered).withColumn("_m", F.monotonically_increasing_id())
+    fixed = pin(ordered).withColumn("_m", F.monotonically_increasing_id())
     part = F.shiftright("_m", 33)
     sizes = fixed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

@@ -20,8 +20,11 @@ TEST_ORIGIN = "2024-01-03 02:00:00"
 
 
 def process(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw processes; an ``error`` event counts as seen an hour earlier already."""
-    events = read_source(spark, folder, "events")
+    return as_process(read_source(spark, folder, "events"))
+
+
+def as_process(events: DataFrame) -> DataFrame:
+    """Events as raw processes; an ``error`` event was seen an hour earlier already."""
     seen = F.when(
         F.col("event_type") == "error", F.col("ts") - F.expr("interval 1 hour")
     ).otherwise(F.col("ts"))

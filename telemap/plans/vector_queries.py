@@ -5,9 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemap.operators import neighbors
-from telemap.plans import Registry, inputs
+from telemap import streaming
+from telemap.functions.text import tokenize
+from telemap.operators import (
+    bags,
+    cluster,
+    cooccurrence,
+    curate,
+    layout,
+    neighbors,
+    reduce,
+    transport,
+    weights,
+)
+from telemap.plans import Registry, inputs, label_queries
 from telemap.plans.label_queries import document_wbag, item_wbag
+from telemap.session import cut, scratch_path, spread
 from telemap.sources import read_source
 
 REGISTRY = Registry()
@@ -70,3 +83,213 @@ def unique_vectors(spark: SparkSession, folder: str) -> DataFrame:
     uniques, members = neighbors.unique_vectors(vectors)
     counts = members.groupBy(F.col("rep").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return uniques.join(counts, "id").select("id", "n")
+
+
+def embedding_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return read_source(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")
+    )
+
+
+def _listed(vectors: DataFrame, digits: int = 6) -> DataFrame:
+    """Vectors as text of rounded numbers, one column."""
+    text = F.array_join(
+        F.transform("vec", lambda v: (F.round(v, digits) + 0.0).cast("string")), " "
+    )
+    return vectors.select("id", F.size("vec").cast("long").alias("width"), text.alias("vec"))
+
+
+# Map queries take fewer epochs than the default to keep a check run short.
+EPOCHS = 8
+
+
+@query()
+def svd_items(spark: SparkSession, folder: str) -> DataFrame:
+    """V5: truncated SVD of the weighted item bag."""
+    return _listed(reduce.truncated_svd(item_wbag(spark, folder), 16), 4)
+
+
+@query()
+def item_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """V3 V5: item vectors from the co-occurrence matrix, which is never formed."""
+    return _listed(reduce.item_vectors(item_wbag(spark, folder), 16), 2)
+
+
+def token_vectors_of(tokens: DataFrame, k: int, n_iter: int) -> DataFrame:
+    table = cut(cooccurrence.smooth_cooccurrence(tokens, n_iter=n_iter))
+    return reduce.token_vectors(table, k)
+
+
+@query()
+def token_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """V2 V4 V5: token vectors from smoothed co-occurrence in conversations."""
+    talk = tokenize(spread(read_source(spark, folder, "conversations").select("text")), "text")
+    return _listed(token_vectors_of(talk.select("tokens"), 16, 3), 4)
+
+
+@query()
+def transport_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as distributions over token vectors."""
+    tokens = cut(inputs.document_tokens(spark, folder))
+    vectors = cut(token_vectors_of(tokens.select("tokens"), 16, 0))
+    bag = bags.bag(tokens, "doc_id", "tokens")
+    wbag = cut(weights.reweight(bag, weights.information_weights(bag), drop_zero=True))
+    return _listed(transport.transport_embedding(wbag, vectors, n_ref=16, dim=16), 3)
+
+
+def _cmdline_vectors(instances: DataFrame) -> DataFrame:
+    """Vectors of unique command lines, by transport over token vectors."""
+    uniq = bags.uniques(instances, "cmdline", "pid_hash", ["timestamp"])
+    tokens = cut(tokenize(uniq, "obj").select("obj_id", "tokens").filter("tokens IS NOT NULL"))
+    vectors = cut(token_vectors_of(tokens.select("tokens"), 16, 3))
+    bag = bags.bag(tokens, "obj_id", "tokens")
+    wbag = cut(weights.reweight(bag, weights.information_weights(bag), drop_zero=True))
+    return transport.transport_embedding(wbag, vectors, n_ref=8, dim=16)
+
+
+def _host_wbag(instances: DataFrame) -> DataFrame:
+    bag = bags.bag_of_pairs(instances, "row_id", "obj_id")
+    return weights.reweight(bag, weights.information_weights(bag), drop_zero=True)
+
+
+@query()
+def lift_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    """Host-times as distributions over command-line vectors."""
+    instances = cut(inputs.host_instances(spark, folder))
+    vectors = cut(_cmdline_vectors(instances))
+    return _listed(transport.lift(cut(_host_wbag(instances)), vectors, n_ref=8, dim=16), 3)
+
+
+@query()
+def pca_start(spark: SparkSession, folder: str) -> DataFrame:
+    """Start positions by principal components."""
+    flat = reduce.pca_start(embedding_vectors(spark, folder))
+    return flat.select("id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+
+
+@query()
+def fuzzy_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Symmetric membership strengths among nearest vectors."""
+    knn = cut(neighbors.knn_cosine(embedding_vectors(spark, folder)))
+    return layout.fuzzy_graph(knn).select("a", "b", F.round("w", 6).alias("w"))
+
+
+def _rounded(points: DataFrame) -> DataFrame:
+    return points.select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query()
+def map_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Hellinger map of whole documents."""
+    return _rounded(layout.map_bags(cut(document_wbag(spark, folder)), epochs=EPOCHS))
+
+
+@query()
+def map_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Cosine map of vectors."""
+    return _rounded(layout.map_vectors(embedding_vectors(spark, folder), epochs=EPOCHS))
+
+
+@query()
+def map_warm(spark: SparkSession, folder: str) -> DataFrame:
+    """A cosine map started at another map."""
+    start = label_queries.plane(spark, folder).select("id", "x", "y")
+    return _rounded(
+        layout.map_vectors(embedding_vectors(spark, folder), epochs=EPOCHS, start=start)
+    )
+
+
+@query()
+def density_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Most stable density clusters of map points."""
+    return cluster.density_clusters(label_queries.plane(spark, folder), levels=6)
+
+
+@query()
+def leaf_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Finest density clusters of map points."""
+    return cluster.density_clusters(label_queries.plane(spark, folder), levels=6, select="leaf")
+
+
+def _closed_bins_sql() -> str:
+    return f"""WITH {inputs.HOST_INSTANCES_SQL}
+        SELECT epoch_us(bin) AS bin_us, hostname, cmdline, count(*) AS n
+        FROM instances
+        WHERE bin + INTERVAL 3 HOUR
+              <= (SELECT date_trunc('millisecond', max("timestamp")) FROM instances) - INTERVAL 3 HOUR
+        GROUP BY 1, 2, 3"""
+
+
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    schema = spark.read.parquet(f"{folder.rstrip('/')}/events.parquet").schema
+    raw = (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(folder)
+    )
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run_to_end(stream: DataFrame, name: str) -> DataFrame:
+    """Drive a stream over what is there now and read the table it wrote."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, name)
+    run = (
+        stream.writeStream.outputMode("append")
+        .format("parquet")
+        .option("checkpointLocation", path + "-progress")
+        .trigger(availableNow=True)
+        .start(path)
+    )
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query(
+    f"""WITH {inputs.PROCESS_FILTERED_SQL}
+        SELECT pid_hash, hostname, name, cmdline, ptree, epoch_us("timestamp") AS ts_us
+        FROM process_filtered"""
+)
+def stream_curation(spark: SparkSession, folder: str) -> DataFrame:
+    """The curation query on a stream of processes."""
+    events = _event_stream(spark, folder)
+    kept = streaming.stream_curate(
+        inputs.as_process(events),
+        inputs.process_path(spark, folder),
+        inputs.TEST_MARKS,
+        inputs.TEST_START,
+    )
+    return _run_to_end(kept, "curated").select(
+        "pid_hash", "hostname", "name", "cmdline", "ptree", F.unix_micros("timestamp").alias("ts_us")
+    )
+
+
+@query(_closed_bins_sql())
+def stream_host_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Streaming host-time counts; bins still open at the end are not out yet."""
+    processes = curate.select_process(inputs.as_process(_event_stream(spark, folder)))
+    counts = _run_to_end(
+        streaming.stream_host_time_counts(processes, origin=inputs.TEST_ORIGIN), "host_times"
+    )
+    uniq = bags.uniques(inputs.all_processes(spark, folder), "cmdline", "pid_hash")
+    return bags.deunique(counts, uniq.select("obj_id", "obj")).select(
+        F.unix_micros("bin").alias("bin_us"), "hostname", F.col("obj").alias("cmdline"), "n"
+    )
+
+
+@query(
+    f"""WITH {inputs.HOST_INSTANCES_SQL},
+        bag AS (SELECT row_id, cmdline AS col_id, count(*) AS n FROM instances GROUP BY 1, 2),
+        {inputs.WEIGHTS_SQL}
+        SELECT pid_hash AS row_id, cmdline AS col_id, round(bits, 6) + 0.0 AS w
+        FROM processes JOIN weights ON cmdline = col_id"""
+)
+def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Newly arriving processes scored with stored weights."""
+    bag = bags.bag_of_pairs(inputs.host_instances(spark, folder), "row_id", "cmdline")
+    stored = cut(weights.information_weights(bag))
+    arriving = curate.select_process(inputs.as_process(_event_stream(spark, folder))).select(
+        F.col("pid_hash").alias("row_id"), F.col("cmdline").alias("col_id"), F.lit(1).alias("n")
+    )
+    scored = _run_to_end(streaming.stream_scores(arriving, stored), "scores")
+    return scored.select("row_id", "col_id", (F.round("w", 6) + 0.0).alias("w"))

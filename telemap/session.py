@@ -56,18 +56,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget how it was made.
+    """Write ``df`` to the shared folder and go on from the written table.
 
-    Used between rounds of iterative jobs: the result survives lost executors
-    and the next round plans against a plain scan.
+    Used between rounds of iterative jobs: the table survives lost executors, the
+    next round plans against a plain scan of known size, and no constraints pile
+    up in the optimiser as they do over chained checkpoints.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    """Number of partitions a shuffle gets before adaptive coalescing."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def pin(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df``, keeping its partitions and their order."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def spread(df: DataFrame) -> DataFrame:

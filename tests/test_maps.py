@@ -73,7 +73,7 @@ def blobs(seed=2):
 
 @pytest.mark.parametrize("select", ["eom", "leaf"])
 def test_blobs_are_found_and_strays_are_noise(spark, select):
-    got = cluster.density_clusters(points_df(spark, blobs()), 10, 20, select)
+    got = cluster.density_clusters(points_df(spark, blobs()), 10, 12, select)
     labels = {r["id"]: r["cluster"] for r in got.collect()}
     one = [labels[i] for i in range(30)]
     two = [labels[i] for i in range(30, 60)]
