@@ -13,6 +13,7 @@ from telemap.functions.text import (
     join_lines,
     unique_label,
 )
+from telemap.operators.bags import number_rows
 
 # Fixed values of the label rules: names per label, columns per topic, the least
 # bits an object and a name must have, and how far below the best name may lie.
@@ -65,9 +66,16 @@ def _rank(partition: str, *order: Column) -> Column:
 
 
 def rank_columns(totals: DataFrame, by: str = "cluster", value: str = "bits") -> DataFrame:
-    """Columns by descending value; ties by column."""
-    return totals.withColumn(
-        "rank", _rank(by, F.desc(F.round(value, RANK_DIGITS)), F.asc("col_id"))
+    """Columns by descending value; ties by column.
+
+    One range-partitioned sort numbers all rows; a row's rank is its distance from
+    the first row of its cluster, so no cluster has to fit in one task.
+    """
+    ordered = totals.orderBy(by, F.desc(F.round(value, RANK_DIGITS)), F.asc("col_id"))
+    numbered = number_rows(ordered, "_i")
+    firsts = numbered.groupBy(by).agg(F.min("_i").alias("_first"))
+    return numbered.join(firsts, by).select(
+        *totals.columns, (F.col("_i") - F.col("_first") + 1).cast("int").alias("rank")
     )
 
 

@@ -27,10 +27,12 @@ from pyspark.sql import types as T
 from telemap.session import cut
 
 BLOCK_ROWS = 1024
+SPARSE_BLOCK_ROWS = 8192
 BLOCK_ENTRIES = 262_144
+SLICE_CELLS = 4_000_000
 MAX_PIVOTS = 512
 SIGNATURE = 32
-CHUNK_PRODUCTS = 2_000_000
+CHUNK_PRODUCTS = 8_000_000
 
 # Distances are compared at this precision, ties going to the smaller id.
 DIGITS = {"hellinger": 6, "cosine": 6, "euclid": 9}
@@ -68,57 +70,141 @@ class _Rows:
             self.mat = np.asarray(flat, float).reshape(self.n, -1)
 
 
-def _sparse_dots(a: _Rows, b: _Rows) -> np.ndarray:
-    order = np.argsort(b.idx, kind="stable")
-    b_idx, b_row, b_val = b.idx[order], b.row[order], b.val[order]
-    lo = np.searchsorted(b_idx, a.idx, "left")
-    count = np.searchsorted(b_idx, a.idx, "right") - lo
-    ends = np.cumsum(count)
-    out = np.zeros(a.n * b.n)
-    start = 0
-    while start < len(count):
-        done = ends[start - 1] if start else 0
-        stop = max(int(np.searchsorted(ends, done + CHUNK_PRODUCTS, "right")), start + 1)
-        c = count[start:stop]
-        which = np.repeat(np.arange(start, stop), c)
-        place = np.arange(len(which)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[start:stop], c)
-        out += np.bincount(
-            a.row[which] * b.n + b_row[place], a.val[which] * b_val[place], minlength=a.n * b.n
-        )
-        start = stop
-    return out.reshape(a.n, b.n)
+    def rows(self, start: int, stop: int) -> np.ndarray:
+        return self.mat[start:stop]
 
 
-def _distances(kind: str, a: _Rows, b: _Rows) -> np.ndarray:
-    if kind == "euclid":
-        if a.mat.shape[1] <= 3:
-            return np.sqrt(((a.mat[:, None, :] - b.mat[None, :, :]) ** 2).sum(axis=2))
-        sq = (a.mat**2).sum(1)[:, None] + (b.mat**2).sum(1)[None, :] - 2 * a.mat @ b.mat.T
-        return np.sqrt(np.maximum(sq, 0.0))
-    dots = _sparse_dots(a, b) if a.sparse else a.mat @ b.mat.T
-    if kind == "hellinger":
-        return np.where(dots > 0, np.sqrt(np.maximum(1.0 - dots, 0.0)), np.inf)
-    return 1.0 - dots
-
-
-def _nearest(dist: np.ndarray, k: int, bound: np.ndarray | None = None):
-    """Row, column and distance of the k smallest entries per row, ties by column."""
-    n, m = dist.shape
-    if m > k:
-        kth = np.partition(dist, k - 1, axis=1)[:, k - 1]
-    else:
-        kth = np.full(n, np.inf)
-    if bound is not None:
-        kth = np.minimum(kth, bound)
-    row, col = np.nonzero((dist <= kth[:, None]) & np.isfinite(dist))
-    d = dist[row, col]
+class _Postings:
+    """Entries of a block sorted by column, for products with other rows."""
+
+    def __init__(self, block: _Rows):
+        order = np.argsort(block.idx, kind="stable")
+        self.idx, self.row, self.val = block.idx[order], block.row[order], block.val[order]
+        self.n = block.n
+
+    def products(self, a: _Rows, start: int, stop: int):
+        """Where each entry of the rows ``start..stop`` of ``a`` meets entries here."""
+        part = slice(a.ptr[start], a.ptr[stop])
+        idx = a.idx[part]
+        lo = np.searchsorted(self.idx, idx, "left")
+        count = np.searchsorted(self.idx, idx, "right") - lo
+        return a.row[part] - start, a.val[part], lo, count
+
+    def chunks(self, row, val, lo, count):
+        """Code ``row * n + other row`` and product, a bounded number at a time."""
+        ends = np.cumsum(count)
+        start = 0
+        while start < len(count):
+            done = ends[start - 1] if start else 0
+            stop = max(int(np.searchsorted(ends, done + CHUNK_PRODUCTS, "right")), start + 1)
+            c = count[start:stop]
+            which = np.repeat(np.arange(start, stop), c)
+            place = np.arange(len(which)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[start:stop], c)
+            yield row[which] * self.n + self.row[place], val[which] * self.val[place]
+            start = stop
+
+
+def _slices(kind: str, a: _Rows, b: _Rows):
+    """Distances of a few rows of ``a`` at a time to all of ``b``.
+
+    Yields ``(start, matrix, None)``, or ``(start, None, (row, col, dist))`` where
+    only few pairs share a column.
+    """
+    step = max(1, SLICE_CELLS // max(b.n, 1))
+    postings = _Postings(b) if a.sparse else None
+    for start in range(0, a.n, step):
+        stop = min(a.n, start + step)
+        if not a.sparse:
+            yield start, _dense_distances(kind, a.rows(start, stop), b.mat), None
+            continue
+        row, val, lo, count = postings.products(a, start, stop)
+        cells, total = (stop - start) * b.n, int(count.sum())
+        if total * 8 < cells:
+            codes, sums = [np.empty(0, np.int64)], [np.empty(0)]
+            for code, product in postings.chunks(row, val, lo, count):
+                codes.append(code)
+                sums.append(product)
+            code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+            dots = np.bincount(inverse, np.concatenate(sums), minlength=len(code))
+            yield start, None, (code // b.n + start, code % b.n, _hellinger(dots))
+        else:
+            dots = np.zeros(cells)
+            for code, product in postings.chunks(row, val, lo, count):
+                dots += np.bincount(code, product, minlength=cells)
+            yield start, _hellinger(dots).reshape(stop - start, b.n), None
+
+
+def _hellinger(dots: np.ndarray) -> np.ndarray:
+    return np.where(dots > 0, np.sqrt(np.maximum(1.0 - dots, 0.0)), np.inf)
+
+
+def _dense_distances(kind: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if kind == "cosine":
+        return 1.0 - a @ b.T
+    if a.shape[1] <= 3:
+        return np.sqrt(sum((a[:, None, j] - b[None, :, j]) ** 2 for j in range(a.shape[1])))
+    sq = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T
+    return np.sqrt(np.maximum(sq, 0.0))
+
+
+def _first_k(row, col, d, k: int):
+    """The k smallest distances per row, ties by column."""
     order = np.lexsort((col, d, row))
     row, col, d = row[order], col[order], d[order]
-    first = np.searchsorted(row, row, "left")
-    keep = np.arange(len(row)) - first < k
+    keep = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
     return row[keep], col[keep], d[keep]
 
 
+def _nearest(dist: np.ndarray, k: int, bound: np.ndarray):
+    """As :func:`_first_k` for a full matrix, within a bound per row."""
+    limit = bound
+    if dist.shape[1] > k:
+        limit = np.minimum(np.partition(dist, k - 1, axis=1)[:, k - 1], bound)
+    row, col = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+    return _first_k(row, col, dist[row, col], k)
+
+
+def _within(kind: str, block: _Rows, k: int):
+    """Neighbours of each row of a block among the others."""
+    digits, out = DIGITS[kind], []
+    bound = np.full(block.n, np.inf)
+    for start, matrix, few in _slices(kind, block, block):
+        if few is None:
+            matrix = np.round(matrix, digits)
+            own = np.arange(len(matrix))
+            matrix[own, own + start] = np.inf
+            row, col, d = _nearest(matrix, k, bound[: len(matrix)])
+            out.append((row + start, col, d))
+        else:
+            row, col, d = few
+            other = row != col
+            out.append(_first_k(row[other], col[other], np.round(d[other], digits), k))
+    return tuple(np.concatenate(part) for part in zip(*out))
+
+
+def _between(kind: str, a: _Rows, b: _Rows, k: int, bound_a: np.ndarray, bound_b: np.ndarray):
+    """Neighbours across two blocks, for the rows of each, within their bounds."""
+    digits = DIGITS[kind]
+    for_a, for_b = [], []
+    for start, matrix, few in _slices(kind, a, b):
+        if few is None:
+            matrix = np.round(matrix, digits)
+            row, col, d = _nearest(matrix, k, bound_a[start : start + len(matrix)])
+            for_a.append((row + start, col, d))
+            row, col, d = _nearest(matrix.T, k, bound_b)
+            for_b.append((row, col + start, d))
+        else:
+            row, col, d = few
+            d = np.round(d, digits)
+            near = d <= bound_a[row]
+            for_a.append(_first_k(row[near], col[near], d[near], k))
+            near = d <= bound_b[col]
+            for_b.append(_first_k(col[near], row[near], d[near], k))
+    one = tuple(np.concatenate(part) for part in zip(*for_a))
+    two = tuple(np.concatenate(part) for part in zip(*for_b))
+    return one, _first_k(*two, k)
+
+
 def _signatures(pdf: pd.DataFrame, sparse: bool) -> np.ndarray:
     if not sparse:
         return np.stack(pdf["vec"].to_numpy()).astype(float)
@@ -192,9 +278,7 @@ def _pack(rows: DataFrame, kind: str, k: int, sparse: bool, block_rows: int) ->
         else:
             flat = sig.ravel()
             rows_ = _Rows(pdf["id"].to_numpy(), flat)
-        dist = np.round(_distances(kind, rows_, rows_), digits)
-        np.fill_diagonal(dist, np.inf)
-        r, c, d = _nearest(dist, k)
+        r, c, d = _within(kind, rows_, k)
         # A row without k neighbours yet is bounded only by what counts as one.
         bound = np.full(rows_.n, _ceiling(kind))
         full = np.bincount(r, minlength=rows_.n) >= k
@@ -304,7 +388,6 @@ def _tiles(blocks: DataFrame, pivots: np.ndarray, cell_hi: dict[int, float]) ->
 
 def _compare(tiles: DataFrame, blocks: DataFrame, kind: str, k: int, sparse: bool) -> DataFrame:
     """Neighbours across each pair of blocks that beat the ones known inside a block."""
-    digits = DIGITS[kind]
     columns = ["ids", "bound", "flat"] + (["ptr", "idx"] if sparse else [])
     left = blocks.select(F.col("block").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns])
     right = blocks.select(F.col("block").alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns])
@@ -327,11 +410,11 @@ def _compare(tiles: DataFrame, blocks: DataFrame, kind: str, k: int, sparse: boo
         for pdf in batches:
             for record in pdf.itertuples(index=False):
                 one, two = rows_of(record, "a"), rows_of(record, "b")
-                dist = np.round(_distances(kind, one, two), digits)
-                r, c, d = _nearest(dist, k, np.asarray(record.a_bound))
+                (r, c, d), (r2, c2, d2) = _between(
+                    kind, one, two, k, np.asarray(record.a_bound), np.asarray(record.b_bound)
+                )
                 yield pd.DataFrame({"id": one.ids[r], "neighbor": two.ids[c], "dist": d})
-                r, c, d = _nearest(dist.T, k, np.asarray(record.b_bound))
-                yield pd.DataFrame({"id": two.ids[r], "neighbor": one.ids[c], "dist": d})
+                yield pd.DataFrame({"id": two.ids[r2], "neighbor": one.ids[c2], "dist": d2})
 
     return tiles.join(left, "a").join(right, "b").mapInPandas(compare, schema)
 
@@ -471,7 +554,7 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     )
 
 
-def knn_hellinger(wbag: DataFrame, k: int = 15, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def knn_hellinger(wbag: DataFrame, k: int = 15, block_rows: int = SPARSE_BLOCK_ROWS) -> DataFrame:
     """k nearest bags by Hellinger distance; bags that share no column are no neighbours."""
     return nearest_with_copies(hellinger_rows(wbag), "hellinger", k, block_rows)
 
