@@ -10,6 +10,14 @@ Every stage takes and returns keyed DataFrames:
 * ``telemap.plans``      whole pipelines and the registered queries
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from telemap.session import cut, session
 
+# Functions that run in Python workers travel with the plan, so executors need
+# no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["cut", "session"]

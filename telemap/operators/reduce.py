@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemap.session import cut
+from telemap.session import cut, spread
 
 OVERSAMPLE = 10
 POWER = 2
@@ -26,6 +26,7 @@ POWER = 2
 BLOCK_CELLS = 2_000_000
 TILE_CELLS = 32_000_000
 MAX_TILE_ENTRIES = 500_000
+MIN_TILE_ENTRIES = 50_000
 
 
 def _vec_schema(id_type: T.DataType) -> T.StructType:
@@ -44,6 +45,41 @@ def sum_vectors(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(total.alias("vec"))
 
 
+def sum_by_id(rows: DataFrame) -> DataFrame:
+    """Elementwise sum of ``vec`` per ``id`` where few rows share an id.
+
+    Each task adds up its share of the ids batch by batch; what it holds is one
+    vector per distinct id of a shuffle partition.
+    """
+
+    def add(ids, vecs):
+        code, names = pd.factorize(ids)
+        order = np.argsort(code, kind="stable")
+        first = np.searchsorted(code[order], np.arange(len(names)))
+        return names, np.add.reduceat(vecs[order], first, axis=0)
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        waiting = 0
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            held.append((pdf["id"].to_numpy(), _stack(pdf["vec"])))
+            waiting += len(pdf)
+            if waiting > 200_000:
+                ids, vecs = zip(*held)
+                held, waiting = [add(np.concatenate(ids), np.concatenate(vecs))], 0
+        if held:
+            ids, vecs = zip(*held)
+            names, sums = add(np.concatenate(ids), np.concatenate(vecs))
+            for start in range(0, len(names), 10_000):
+                part = slice(start, start + 10_000)
+                yield pd.DataFrame({"id": names[part], "vec": list(sums[part])})
+
+    schema = _vec_schema(rows.schema["id"].dataType)
+    return rows.select("id", "vec").repartition("id").mapInPandas(total, schema)
+
+
 def sum_partials(parts: DataFrame) -> np.ndarray:
     """Sum one small array per partition, in two levels."""
     halfway = sum_vectors(parts.withColumn("_g", F.pmod(F.col("part"), F.lit(64))), "_g")
@@ -98,11 +134,12 @@ class TripleMatrix:
         n_cols = triples.select("col_id").distinct().agg(F.count(F.lit(1)).alias("c")).scalar()
         size = triples.agg(F.count(F.lit(1)).alias("n")).select("n", n_cols.alias("c")).first()
         limit = max(1024, min(MAX_TILE_ENTRIES, TILE_CELLS // width))
-        self.slabs = max(1, -(-size["n"] // limit))
+        cores = triples.sparkSession.sparkContext.defaultParallelism
+        self.slabs = max(1, -(-size["n"] // limit), min(cores, size["n"] // MIN_TILE_ENTRIES))
         self.blocks = max(1, -(-size["c"] * width // BLOCK_CELLS))
         self.row_type = triples.schema["row_id"].dataType
         self.col_type = triples.schema["col_id"].dataType
-        self.tiles = cut(self._pack(triples))
+        self.tiles = spread(cut(self._pack(triples)))
 
     def _slab(self, col: str):
         return F.pmod(F.xxhash64(col), F.lit(self.slabs)).cast("int")
@@ -112,7 +149,7 @@ class TripleMatrix:
 
     def _pack(self, triples: DataFrame) -> DataFrame:
         entry = F.struct("row_id", "col_id", F.col("w").cast("double").alias("w"))
-        return (
+        packed = (
             triples.groupBy(self._slab("row_id").alias("slab"), self._block("col_id").alias("block"))
             .agg(F.collect_list(entry).alias("e"))
             .select(
@@ -124,6 +161,38 @@ class TripleMatrix:
             )
         )
 
+        def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Number the rows and columns of each tile once for all products."""
+            for pdf in batches:
+                for t in pdf.itertuples(index=False):
+                    r, rows = pd.factorize(t.rows)
+                    c, cols = pd.factorize(t.cols)
+                    yield pd.DataFrame(
+                        {
+                            "slab": [t.slab],
+                            "block": [t.block],
+                            "rows": [rows],
+                            "cols": [cols],
+                            "r": [r.astype(np.int32)],
+                            "c": [c.astype(np.int32)],
+                            "w": [t.w],
+                        }
+                    )
+
+        ints = T.ArrayType(T.IntegerType())
+        schema = T.StructType(
+            [
+                T.StructField("slab", T.IntegerType()),
+                T.StructField("block", T.IntegerType()),
+                T.StructField("rows", T.ArrayType(self.row_type)),
+                T.StructField("cols", T.ArrayType(self.col_type)),
+                T.StructField("r", ints),
+                T.StructField("c", ints),
+                T.StructField("w", T.ArrayType(T.DoubleType())),
+            ]
+        )
+        return packed.mapInPandas(code, schema)
+
     def _sketch_blocks(self, rows: DataFrame, key, name: str) -> DataFrame:
         return (
             rows.groupBy(key.alias(name))
@@ -142,12 +211,13 @@ class TripleMatrix:
             for pdf in batches:
                 for t in pdf.itertuples(index=False):
                     x = np.asarray(t.flat).reshape(len(t.ids), -1)
-                    place = pd.Index(t.ids).get_indexer(getattr(t, theirs))
-                    code, ids = pd.factorize(getattr(t, ours))
-                    w = np.where(place >= 0, np.asarray(t.w), 0.0)
+                    known = pd.Index(t.ids).get_indexer(getattr(t, theirs))
+                    x = np.where(known[:, None] >= 0, x[known], 0.0)
+                    ids, w = getattr(t, ours), np.asarray(t.w)
+                    out, inn = (t.r, t.c) if ours == "rows" else (t.c, t.r)
                     y = np.empty((len(ids), x.shape[1]))
                     for j in range(x.shape[1]):
-                        y[:, j] = np.bincount(code, w * x[place, j], minlength=len(ids))
+                        y[:, j] = np.bincount(out, w * x[inn, j], minlength=len(ids))
                     yield pd.DataFrame({"id": ids, "vec": list(y)})
 
         return self.tiles.join(blocks, by).mapInPandas(multiply, _vec_schema(out_type))
@@ -155,12 +225,12 @@ class TripleMatrix:
     def times(self, x: DataFrame) -> DataFrame:
         """``M x`` for a sketch ``(id = column, vec)``."""
         parts = self._product(x, "block", self._block("id"), self.row_type, "rows", "cols")
-        return parts if self.blocks == 1 else sum_vectors(parts, "id")
+        return parts if self.blocks == 1 else sum_by_id(parts)
 
     def transposed_times(self, y: DataFrame) -> DataFrame:
         """``M' y`` for a sketch ``(id = row, vec)``."""
         parts = self._product(y, "slab", self._slab("id"), self.col_type, "cols", "rows")
-        return parts if self.slabs == 1 else sum_vectors(parts, "id")
+        return parts if self.slabs == 1 else sum_by_id(parts)
 
     def columns(self) -> DataFrame:
         return self.tiles.select(F.explode("cols").alias("id")).distinct()
