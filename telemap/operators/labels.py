@@ -14,6 +14,7 @@ from telemap.functions.text import (
     unique_label,
 )
 from telemap.operators.bags import number_rows
+from telemap.session import cut
 
 # Fixed values of the label rules: names per label, columns per topic, the least
 # bits an object and a name must have, and how far below the best name may lie.
@@ -99,11 +100,19 @@ def share_gaps(wbag: DataFrame, clusters: DataFrame, k: int = ITEMS_PER_TOPIC) -
     matter.  They are found by an equi-join on the power of two of the share,
     so clusters are never crossed with the vocabulary.
     """
-    totals = wbag.groupBy("col_id").agg(F.sum("w").alias("bits"))
-    base = col_distribution(totals).select("col_id", F.col("share").alias("base"))
-    local = col_distribution(
-        cluster_bits(wbag, clusters.filter("cluster >= 0")), "cluster"
-    ).select("cluster", "col_id", F.col("share").alias("local"))
+    # One pass over the bag: per cluster and column, noise and rows without a
+    # cluster under -1.  Everything after works on this much smaller table.
+    groups = clusters.select(F.col("id").alias("row_id"), "cluster")
+    sums = cut(
+        wbag.join(groups, "row_id", "left")
+        .groupBy(F.coalesce("cluster", F.lit(-1)).alias("cluster"), "col_id")
+        .agg(F.sum("w").alias("bits"))
+    )
+    totals = sums.groupBy("col_id").agg(F.sum("bits").alias("bits"))
+    base = cut(col_distribution(totals).select("col_id", F.col("share").alias("base")))
+    local = col_distribution(sums.filter("cluster >= 0"), "cluster").select(
+        "cluster", "col_id", F.col("share").alias("local")
+    )
     present = local.join(base, "col_id").select(
         "cluster", "col_id", "local", "base", (F.col("local") - F.col("base")).alias("gap")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from telemap.functions.text import hover_text
 from telemap.operators import bags, labels, maps, weights
 from telemap.plans import Registry, inputs
+from telemap.session import cut
 from telemap.sources import read_source
 
 REGISTRY = Registry()
@@ -49,7 +50,7 @@ _GAPS_SQL = """
 
 
 def document_wbag(spark: SparkSession, folder: str) -> DataFrame:
-    bag = inputs.document_bag(spark, folder)
+    bag = cut(inputs.document_bag(spark, folder))
     return weights.reweight(bag, weights.information_weights(bag))
 
 

@@ -34,7 +34,7 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 @pytest.mark.parametrize(
-    "name", ["curate_processes", "token_bag", "info_weights", "cluster_bits", "windowed_cooc", "host_time_counts"]
+    "name", ["curate_processes", "token_bag", "info_weights", "reweighted_docs", "windowed_cooc", "host_time_counts"]
 )
 def test_no_python_and_no_cross_join(spark, name):
     text = plan(all_queries()[name](spark, SMALL))
