@@ -167,11 +167,38 @@ def pca_start(spark: SparkSession, folder: str) -> DataFrame:
     return flat.select("id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+       pairs AS (SELECT a.id, b.id AS neighbor, round(1 - list_cosine_similarity(a.v, b.v), 6) AS dist
+                 FROM e a JOIN e b ON a.id <> b.id),
+       ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, neighbor) AS r FROM pairs),
+       knn AS (SELECT id, neighbor, dist FROM ranked WHERE r <= 15),
+       near AS (SELECT id, list(dist ORDER BY dist) AS ds,
+                       coalesce(min(dist) FILTER (WHERE dist > 0), 0.0) AS rho,
+                       avg(dist) AS mean FROM knn GROUP BY 1),
+       st AS (
+         SELECT id, ds, rho, mean, CAST(0 AS DOUBLE) AS lo, CAST(-1 AS DOUBLE) AS hi,
+                CAST(1 AS DOUBLE) AS mid, 0 AS step FROM near
+         UNION ALL
+         SELECT id, ds, rho, mean, lo2, hi2,
+                CASE WHEN hi2 < 0 THEN lo2 * 2 ELSE (lo2 + hi2) / 2 END, step + 1
+         FROM (SELECT *, CASE WHEN over_ THEN lo ELSE mid END AS lo2,
+                      CASE WHEN over_ THEN mid ELSE hi END AS hi2
+               FROM (SELECT *, list_sum(list_transform(ds, lambda d: exp(-greatest(d - rho, 0.0) / mid)))
+                            > log2(15) AS over_ FROM st WHERE step < 64))),
+       scales AS (SELECT id, rho, greatest(mid, mean * 1e-3, 1e-12) AS scale FROM st WHERE step = 64),
+       directed AS (SELECT k.id, k.neighbor, exp(-greatest(dist - rho, 0.0) / scale) AS m
+                    FROM knn k JOIN scales s ON k.id = s.id),
+       both_ AS (SELECT least(id, neighbor) AS a, greatest(id, neighbor) AS b,
+                        coalesce(max(m) FILTER (WHERE id < neighbor), 0.0) AS p,
+                        coalesce(max(m) FILTER (WHERE id > neighbor), 0.0) AS q
+                 FROM directed GROUP BY 1, 2)
+       SELECT a, b, round(p + q - p * q, 5) AS w FROM both_ WHERE p + q - p * q > 0"""
+)
 def fuzzy_graph(spark: SparkSession, folder: str) -> DataFrame:
     """Symmetric membership strengths among nearest vectors."""
     knn = cut(neighbors.knn_cosine(embedding_vectors(spark, folder)))
-    return layout.fuzzy_graph(knn).select("a", "b", F.round("w", 6).alias("w"))
+    return layout.fuzzy_graph(knn).select("a", "b", F.round("w", 5).alias("w"))
 
 
 def _rounded(points: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Registered queries against their SQL, plan shapes, and a whole study."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from compare import differences
 from conftest import SMALL
@@ -59,3 +60,29 @@ def test_whole_study(spark, tmp_path):
     assert 0 < both.count() <= n
     pipelines.save({"table": study["map_table"], "both": both}, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "both")).count() == both.count()
+
+
+def test_image_and_host_studies(spark):
+    opts = pipelines.Options(
+        vector_width=6, cloud=4, embedding_width=6, neighbors=5, epochs=1, levels=2, smoothing=0
+    )
+    loads = curate.select_image_loads(inputs.process_image_load(spark, SMALL))
+    processes = inputs.order_processes(spark, SMALL).withColumn("cmdline", F.lit('"c:\\a.exe" -x'))
+    images = pipelines.image_loads(processes, loads, opts)
+    table = images["map_table"].collect()
+    assert len(table) == loads.select("pid_hash").distinct().count()
+    assert {r["hover_text"] for r in table} <= {
+        f"{n} -x" for n in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    }
+
+    runs = inputs.all_processes(spark, SMALL)
+    vectors = (
+        runs.select(F.xxhash64("cmdline").alias("id"))
+        .distinct()
+        .select("id", F.array(*[F.pmod(F.col("id"), F.lit(p)) / p for p in (7, 11, 13, 17)]).alias("vec"))
+    )
+    hosts = pipelines.host_times(runs, vectors, opts, origin=inputs.TEST_ORIGIN)
+    rows = hosts["map_table"].collect()
+    assert rows and all(0 <= r["colour"] <= 1 for r in rows)
+    assert all(r["label"] for r in rows)
+    assert hosts["paths"].filter("from_x IS NOT NULL").count() > 0
