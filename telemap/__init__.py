@@ -7,7 +7,7 @@ Every stage takes and returns keyed DataFrames:
 * ``telemap.operators``  curation, bags, weights, co-occurrence, neighbours,
   embeddings, layouts, clusters, labels and map alignment
 * ``telemap.streaming``  the curation and binning steps on streams
-* ``telemap.plans``      whole pipelines and the registered queries
+* ``telemap.plans``      whole studies and the registered queries
 """
 
 import sys

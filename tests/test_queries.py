@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from compare import differences
 from conftest import SMALL
 from telemap.operators import curate
-from telemap.plans import all_queries, all_sql, inputs, pipelines
+from telemap.plans import all_queries, all_sql, inputs, studies
 
 # Rows-only queries take long and have their own property tests.
 QUERIES = sorted(all_sql())
@@ -48,27 +48,27 @@ def test_top_k_is_cut_before_the_shuffle(spark):
 
 
 def test_whole_study(spark, tmp_path):
-    opts = pipelines.Options(
+    opts = studies.Options(
         vector_width=8, cloud=4, embedding_width=8, neighbors=5, epochs=2, smoothing=1, levels=3
     )
     processes = inputs.all_processes(spark, SMALL)
-    study = pipelines.command_lines(processes, opts)
-    vectors = pipelines.command_line_vectors(study, opts)
+    study = studies.command_lines(processes, opts)
+    vectors = studies.command_line_vectors(study, opts)
     n = study["uniques"].count()
     assert vectors["vectors"].count() == n
-    both = pipelines.comparison(study, vectors["vectors"], opts)
+    both = studies.comparison(study, vectors["vectors"], opts)
     assert 0 < both.count() <= n
-    pipelines.save({"table": study["map_table"], "both": both}, str(tmp_path))
+    studies.save({"table": study["map_table"], "both": both}, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "both")).count() == both.count()
 
 
 def test_image_and_host_studies(spark):
-    opts = pipelines.Options(
+    opts = studies.Options(
         vector_width=6, cloud=4, embedding_width=6, neighbors=5, epochs=1, levels=2, smoothing=0
     )
     loads = curate.select_image_loads(inputs.process_image_load(spark, SMALL))
     processes = inputs.order_processes(spark, SMALL).withColumn("cmdline", F.lit('"c:\\a.exe" -x'))
-    images = pipelines.image_loads(processes, loads, opts)
+    images = studies.image_loads(processes, loads, opts)
     table = images["map_table"].collect()
     assert len(table) == loads.select("pid_hash").distinct().count()
     assert {r["hover_text"] for r in table} <= {
@@ -81,7 +81,7 @@ def test_image_and_host_studies(spark):
         .distinct()
         .select("id", F.array(*[F.pmod(F.col("id"), F.lit(p)) / p for p in (7, 11, 13, 17)]).alias("vec"))
     )
-    hosts = pipelines.host_times(runs, vectors, opts, origin=inputs.TEST_ORIGIN)
+    hosts = studies.host_times(runs, vectors, opts, origin=inputs.TEST_ORIGIN)
     rows = hosts["map_table"].collect()
     assert rows and all(0 <= r["colour"] <= 1 for r in rows)
     assert all(r["label"] for r in rows)
