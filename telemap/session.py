@@ -35,7 +35,8 @@ def session(app: str = "telemap", master: str | None = None, **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a test on one machine) gets a temporary one.
+    A session on one machine that names none (a test) gets a temporary one; on a
+    cluster that is an error, since executors would not see each other's tables.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
@@ -44,6 +45,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
+        master = context.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="telemap-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -64,7 +68,21 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "cut")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_cut_path", None)
+        if path is None:
+            continue
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        table._cut_path = None
 
 
 def pin(df: DataFrame) -> DataFrame:
