@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemap.llm.words import LETTERS, words
+from telemap.llm.words import LETTERS, slices, words
 from telemap.session import cut
 
 SEGMENT = 1 << 18
@@ -39,7 +39,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() << 32) - 1
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = words(batch.column(1), LETTERS)
             ids = batch.column(0).to_pylist()
             at = 0

@@ -135,3 +135,13 @@ def op3_contamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         is_contaminated().alias("contaminated"),
     )
+
+
+@REGISTRY.query()
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the smallest id of its group of near copies."""
+    from telemap.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )

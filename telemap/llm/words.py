@@ -9,6 +9,7 @@ machine.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,6 +65,18 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[key]
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int | str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, of about ``size`` bytes of text but a row at least."""
+    for batch in batches:
+        text = batch.column(column).cast(pa.large_binary())
+        ends = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1]
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 @dataclass
 class Words:
     """Words of some texts: ``hashes`` of all, ``ends[i]:ends[i + 1]`` those of text i."""
