@@ -145,3 +145,26 @@ def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+@REGISTRY.query(
+    """
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM doc WHERE len(w) >= 50)),
+lead AS (SELECT h, min(doc_id) AS lead FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM win JOIN lead USING (h) WHERE doc_id > lead),
+kept AS (
+  SELECT doc_id, count(q) AS n_removed, string_agg(CASE WHEN q IS NULL THEN x END, ' ' ORDER BY i) AS s
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM doc)
+  LEFT JOIN (SELECT doc_id AS d, q FROM gone) ON doc_id = d AND i = q GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
+)
+def op1_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages that an earlier one has."""
+    from telemap.llm.substrings import remove_repeats
+
+    found = remove_repeats(table(spark, folder, "documents"), texts=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
