@@ -133,6 +133,12 @@ def _distance() -> Column:
     return sum((part * part for part in parts), F.lit(0.0))
 
 
+def _anew() -> Column:
+    """The group's name as a new value: sums by it are dealt out afresh after a join by
+    ``grp``, so that the join may split a group that holds many of the rows."""
+    return F.concat_ws("", "grp").alias("grp")
+
+
 def _reach(counted: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
     """For each key the smallest ``value`` up to which at least ``share`` of its rows lie."""
     order = Window.partitionBy(*keys).orderBy(value)
@@ -184,7 +190,7 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     now = cut(first.unionByName(estimate(every).withColumn("spread", F.lit(1e9))))
     for _ in range(MAX_STEPS):
         far = near.join(now.withColumn("old", F.col("spread")), "grp").withColumn("bin", F.floor(64 * F.log1p(_distance())))
-        binned = far.groupBy(*keys, "old", "bin").agg(F.count("*").alias("n"), *adding)
+        binned = far.groupBy(_anew(), "start", "old", "bin").agg(F.count("*").alias("n"), *adding)
         order = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         inside = (
             binned.withColumn("below", F.coalesce(F.sum("n").over(order), F.lit(0)))
@@ -202,7 +208,7 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     best = every.groupBy("grp").agg(F.min_by(fields, F.struct("spread", "start", "old")).alias("b"))
     best = cut(best.select("grp", "b.*"))
     binned = near.join(best, "grp").withColumn("bin", F.floor(64 * F.log1p(_distance())))
-    reach = _reach(binned.groupBy("grp", "bin").agg(F.count("*").alias("n")), ["grp"], "bin", SUBSET)
+    reach = _reach(binned.groupBy(_anew(), "bin").agg(F.count("*").alias("n")), ["grp"], "bin", SUBSET)
     # the kept share is too narrow for a normal group by this much; never drawn in
     scale = F.greatest(F.lit(1.0), F.expm1((F.col("reach") + 1) / 64) / chi2(P, SUBSET))
     back = [(F.col(f"m{j}") + F.col(f"a{j}")).alias(f"m{j}") for j in range(P)]
