@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telemap.llm.rows import send
 from telemap.llm.words import LETTERS, slices, words
 from telemap.session import cut
 
@@ -188,7 +189,7 @@ def _term_counts(index: DataFrame, asked) -> dict[int, int]:
     """How often the corpus holds each term of a block."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = asked.value.vocabulary
+        vocabulary = asked().vocabulary
         total = np.zeros(len(vocabulary), dtype=np.int64)
         for batch in batches:
             for terms, ends in zip(batch.column(0), batch.column(1)):
@@ -207,7 +208,7 @@ def _term_counts(index: DataFrame, asked) -> dict[int, int]:
 
 def _ask(index: DataFrame, asked, reach: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = asked.value
+        block = asked()
         for batch in batches:
             for segment, sizes, *packed in zip(*batch.columns):
                 here = Segment(np.array(sizes.as_py(), dtype=np.int64), *[p.as_py() for p in packed])
@@ -262,8 +263,8 @@ def find_phrases(index: DataFrame, windows: DataFrame, size: int = WINDOW, reach
         if not pairs:
             continue
         phrases = Phrases(pairs, size)
-        phrases.rank(_term_counts(index, spark.sparkContext.broadcast(phrases)))
-        found.append(_ask(index, spark.sparkContext.broadcast(phrases), reach))
+        phrases.rank(_term_counts(index, send(spark, phrases)))
+        found.append(_ask(index, send(spark, phrases), reach))
     if not found:
         return spark.createDataFrame([], MATCHES)
     out = found[0]

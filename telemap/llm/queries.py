@@ -168,3 +168,12 @@ def op1_substrings(spark: SparkSession, folder: str) -> DataFrame:
 
     found = remove_repeats(table(spark, folder, "documents"), texts=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@REGISTRY.query()
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its domain posteriors, rate and number of copies."""
+    from telemap.llm.mixing import mix
+
+    mixed = mix(table(spark, folder, "documents"), table(spark, folder, "labels"), carry=["doc_id"])
+    return mixed.select("row.doc_id", "n_tokens", "posterior", "domain", "rate", "copies")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pickle
+from collections.abc import Callable
+from typing import Any
+
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telemap.session import cut, forget
@@ -23,6 +28,15 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     )
 
 
+def send(spark: SparkSession, thing: Any) -> Callable[[], Any]:
+    """Broadcasts a thing of bounded size; the result, called in a task, gives it back.
+
+    Classes travel with it, so executors need no copy of this package.
+    """
+    box = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(box.value)
+
+
 def utf8_size(text: str | Column) -> Column:
     """Bytes of a text in UTF-8, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
