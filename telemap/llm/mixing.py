@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemap.llm.rows import send
-from telemap.llm.words import FOLDED, slices, words
+from telemap.llm.words import PLAIN, slices, words
 from telemap.session import cut
 
 #: labelled rows that the classifier is fitted on, at most; one half fits, one half calibrates
 SAMPLE = 20_000
-#: hashed word features
-FEATURES = 1 << 16
-#: words of prior evidence for each domain, dealt out like all words
-PRIOR = 50_000.0
+#: hashed features: words and the first ``STEM`` bytes of words
+FEATURES, STEM = 1 << 17, 6
+#: ridge and steps of the fit
+RIDGE, STEPS = 1.0, 150
 MAX_STEPS = 60
+#: a feature speaks for or against a domain from this many standard errors on
+CLEAR = 3.5
 #: the steps end when no domain's total moves by more than this share of it
 STILL = 1e-6
 
@@ -29,29 +31,59 @@ Domain = tuple[int, int]
 
 def default_factor(domain: Domain) -> float:
     """Wanted tokens of a (quality, toxic) domain as a multiple of what there is."""
-    return 0.02 if domain[1] else 1.02
+    return 0.25 if domain[1] else 1.02
 
 
 def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number and feature of every different word, and word counts."""
-    found = words(column, FOLDED)
-    feature = found.hashes & np.uint64(FEATURES - 1)
-    pairs = np.unique((found.owner().astype(np.uint64) << np.uint64(16)) | feature)
-    return (pairs >> np.uint64(16)).astype(np.int64), (pairs & np.uint64(FEATURES - 1)).astype(np.int64), found.counts
+    """Text number and feature of every different word and stem, and word counts.
+
+    Words count as written, one half of the features; stems in lower case, the other.
+    """
+    found = words(column, PLAIN, STEM)
+    half = np.uint64(FEATURES // 2)
+    owner = found.owner().astype(np.uint64) * np.uint64(FEATURES)
+    both = np.concatenate((owner | found.hashes & (half - np.uint64(1)), owner | half | found.stems & (half - np.uint64(1))))
+    pairs = np.unique(both)
+    return (pairs // np.uint64(FEATURES)).astype(np.int64), (pairs % np.uint64(FEATURES)).astype(np.int64), found.counts
 
 
 class Classifier:
-    """Word weights, offsets and temperature of one posterior for each domain."""
+    """Multinomial logistic regression on the features that set a domain apart."""
 
-    def __init__(self, counts: np.ndarray, texts: np.ndarray) -> None:
+    def __init__(self, counts: np.ndarray) -> None:
         base = (counts.sum(axis=0) + 1.0) / (counts.sum() + FEATURES)
-        share = (counts + PRIOR * base) / (counts.sum(axis=1, keepdims=True) + PRIOR)
-        self.weights = np.log(share / base).T.astype(np.float32)  # feature x domain
-        self.offsets = np.log((texts + 1.0) / (texts.sum() + len(texts)))
+        expected = counts.sum(axis=1, keepdims=True) * base
+        clear = np.abs(counts - expected) >= CLEAR * np.sqrt(np.maximum(expected, 1.0))
+        self.clear = clear.any(axis=0)
+        self.weights = np.zeros((FEATURES, len(counts)))
+        self.offsets = np.zeros(len(counts))
         self.heat = 1.0
 
+    def learn(self, row: np.ndarray, feature: np.ndarray, domain: np.ndarray) -> None:
+        """Full-batch Adam on the log loss plus a ridge; one row for each pair of text and clear feature."""
+        used, place = np.unique(feature, return_inverse=True)
+        width = len(self.offsets)
+        wanted = np.eye(width)[domain]
+        w = np.zeros((len(used) + 1, width))
+        mean, square = np.zeros_like(w), np.zeros_like(w)
+        for step in range(1, STEPS + 1):
+            score = np.stack([np.bincount(row, w[place, d], minlength=len(domain)) for d in range(width)], axis=1) + w[-1]
+            p = np.exp(score - score.max(axis=1, keepdims=True))
+            error = p / p.sum(axis=1, keepdims=True) - wanted
+            slope = np.zeros_like(w)
+            for d in range(width):
+                slope[:-1, d] = np.bincount(place, error[row, d], minlength=len(used))
+            slope[-1] = error.sum(axis=0)
+            slope[:-1] += RIDGE * w[:-1]
+            mean = 0.9 * mean + 0.1 * slope
+            square = 0.99 * square + 0.01 * slope**2
+            w -= 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
+        self.weights[used] = w[:-1]
+        self.offsets = w[-1]
+
     def evidence(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         row, feature, counts = _features(column)
+        row, feature = row[self.clear[feature]], feature[self.clear[feature]]
         out = np.zeros((len(column), self.weights.shape[1]))
         for d in range(out.shape[1]):
             out[:, d] = np.bincount(row, self.weights[feature, d], minlength=len(column))
@@ -102,25 +134,49 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[Domain], Classifier |
             names = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
             domain = np.array([domains.index(x) for x in names], dtype=np.int64)
             key, n = np.unique(domain[row] * FEATURES + feature, return_counts=True)
-            texts = np.bincount(domain, minlength=len(domains))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "key": pa.array(np.concatenate((key, -1 - np.arange(len(domains))))),
-                    "n": pa.array(np.concatenate((n, texts)).astype(np.int64)),
-                }
-            )
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key), "n": pa.array(n.astype(np.int64))})
 
     def rows(half: int) -> DataFrame:
         return sample.filter(F.col("half") == half).select("text", "quality", "toxic")
 
     summed = rows(0).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    key, n = summed["key"].to_numpy(), summed["n"].to_numpy(dtype=float)
     counts = np.zeros((len(domains), FEATURES))
-    counts.flat[key[key >= 0]] = n[key >= 0]
-    texts = np.zeros(len(domains))
-    texts[-1 - key[key < 0]] = n[key < 0]
-    model = Classifier(counts, texts)
-    sent = send(docs.sparkSession, model)  # features times domains, whatever the input
+    counts.flat[summed["key"].to_numpy()] = summed["n"].to_numpy(dtype=float)
+    model = Classifier(counts)
+    start = send(docs.sparkSession, model)  # features times domains, whatever the input
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear = start().clear
+        for batch in slices(batches, 0):
+            row, feature, _ = _features(batch.column(0))
+            row, feature = row[clear[feature]], feature[clear[feature]]
+            names = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "domain": pa.array([domains.index(x) for x in names], pa.int64()),
+                    "features": pa.ListArray.from_arrays(pa.array(ends), pa.array(feature, pa.int64())),
+                }
+            )
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted, parts = start(), list(batches)
+        if parts:
+            domain = np.concatenate([b.column(0).to_numpy() for b in parts])
+            lists = [np.asarray(b.column(1).value_lengths()) for b in parts]
+            feature = np.concatenate([np.asarray(b.column(1).flatten()) for b in parts])
+            fitted.learn(np.repeat(np.arange(len(domain)), np.concatenate(lists)), feature, domain)
+        yield pa.RecordBatch.from_pydict(
+            {"weights": pa.array([fitted.weights.tobytes()], pa.binary()), "offsets": pa.array([fitted.offsets.tobytes()], pa.binary())}
+        )
+
+    # half the bounded sample, as lists of clear features, in one task
+    few = rows(0).mapInArrow(pairs, "domain long, features array<long>").repartition(1)
+    learnt = few.mapInArrow(learn, "weights binary, offsets binary").first()
+    if learnt is not None:
+        model.weights = np.frombuffer(bytes(learnt["weights"])).reshape(FEATURES, -1)
+        model.offsets = np.frombuffer(bytes(learnt["offsets"]))
+    sent = send(docs.sparkSession, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent()
@@ -148,7 +204,7 @@ def with_posteriors(docs: DataFrame, carry: list[str], model: Classifier | None,
         known = sent()
         for batch in slices(batches, "text"):
             if known is None:
-                counts = words(batch.column("text"), FOLDED).counts
+                counts = words(batch.column("text"), PLAIN).counts
                 posterior = np.zeros((batch.num_rows, 0))
             else:
                 evidence, counts = known.evidence(batch.column("text"))
@@ -227,11 +283,11 @@ def mix(
 
     Domains are the (quality, toxic) pairs of ``labels``; rows with a null count for
     nothing, and of several labels of a document the largest counts. Posteriors come
-    from a naive Bayes classifier on different words, calibrated on the half of the
+    from a logistic classifier on different words and stems, calibrated on the half of the
     sample it was not fitted on. Rates are fitted so that expected domain totals of
     tokens meet ``factor`` times the present ones; ``copies`` rounds a rate up or down
     by a hash of the row, so the result is the same in every run. ``domain`` is the
-    place of the likeliest domain. Texts without words have the prior as posterior.
+    place of the likeliest domain. Texts without known features have the posterior of the offsets.
     Without labelled documents there are no domains and every rate is 1.
     """
     carry = docs.columns if carry is None else carry

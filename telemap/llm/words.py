@@ -83,6 +83,7 @@ class Words:
 
     hashes: np.ndarray
     ends: np.ndarray
+    stems: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.ends) - 1
@@ -116,11 +117,15 @@ def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def words(column: pa.Array, table: tuple[np.ndarray, np.ndarray] = PLAIN) -> Words:
-    """Hash the words of a batch of texts; a null text has none."""
+def words(column: pa.Array, table: tuple[np.ndarray, np.ndarray] = PLAIN, stem: int = 0) -> Words:
+    """Hash the words of a batch of texts; a null text has none.
+
+    With ``stem``, the first bytes of each word, A-Z lowered, are hashed as well.
+    """
     inside, value = table
     text, starts = _joined(column)
     hashes: list[np.ndarray] = []
+    stems: list[np.ndarray] = []
     begins: list[np.ndarray] = []
     at = 0
     while at < len(text):
@@ -137,11 +142,16 @@ def words(column: pa.Array, table: tuple[np.ndarray, np.ndarray] = PLAIN) -> Wor
         sums = np.zeros(len(piece) + 1, dtype=np.uint64)
         np.cumsum(value[piece] * up[: len(piece)], out=sums[1:])
         hashes.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
+        if stem:
+            np.cumsum(FOLDED[1][piece] * up[: len(piece)], out=sums[1:])
+            last = np.minimum(last, first + stem)
+            stems.append(mix((sums[last] - sums[first]) * down[first]))
         begins.append(first + at)
         at = to
     if not hashes:
-        return Words(np.zeros(0, np.uint64), np.zeros(len(starts), np.int64))
-    return Words(np.concatenate(hashes), np.searchsorted(np.concatenate(begins), starts).astype(np.int64))
+        return Words(np.zeros(0, np.uint64), np.zeros(len(starts), np.int64), np.zeros(0, np.uint64))
+    ends = np.searchsorted(np.concatenate(begins), starts).astype(np.int64)
+    return Words(np.concatenate(hashes), ends, np.concatenate(stems) if stem else None)
 
 
 class Runs:
