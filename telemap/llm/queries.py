@@ -177,3 +177,37 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
     mixed = mix(table(spark, folder, "documents"), table(spark, folder, "labels"), carry=["doc_id"])
     return mixed.select("row.doc_id", "n_tokens", "posterior", "domain", "rate", "copies")
+
+
+@REGISTRY.query(
+    """
+WITH listed AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS t
+  FROM conversations GROUP BY 1),
+ends AS (SELECT *, list_max(list_transform(range(len(t)), lambda i: CASE WHEN t[i + 1].role = 'assistant' THEN i + 1 ELSE 0 END)) AS last
+         FROM listed),
+sides AS (
+  SELECT conv_id, t[1:last] AS c, last,
+         coalesce(list_filter(t[1:last - 1], lambda x: x.role = 'assistant')[-1].text, '') AS earlier
+  FROM ends WHERE last > 0),
+cut AS (SELECT *, CASE WHEN c[last].text = earlier THEN last ELSE last - 1 END AS n FROM sides),
+shown AS (
+  SELECT conv_id, CAST(n AS INTEGER) AS prompt_turns,
+         list_aggregate(list_transform(c[1:n], lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), 'string_agg', '') AS p,
+         CASE WHEN n < last THEN '<|assistant|>' || chr(10) || c[last].text || '<|end|>' || chr(10) ELSE '' END AS chosen,
+         CASE WHEN n < last THEN '<|assistant|>' || chr(10) || earlier || '<|end|>' || chr(10) ELSE '' END AS rejected
+  FROM cut)
+SELECT conv_id, prompt_turns, coalesce(p, '') AS prompt, chosen, rejected,
+       CASE WHEN chosen = '' THEN '' ELSE '14-' || length(chosen) END AS chosen_mask,
+       CASE WHEN rejected = '' THEN '' ELSE '14-' || length(rejected) END AS rejected_mask
+FROM shown
+"""
+)
+def op9_preferences(spark: SparkSession, folder: str) -> DataFrame:
+    """A preference pair for every conversation with a reply."""
+    from telemap.llm.preferences import conversations_of, format_preferences, stale_pairs
+
+    made = format_preferences(stale_pairs(conversations_of(table(spark, folder, "conversations"))))
+    for side in ("chosen_mask", "rejected_mask"):
+        made = made.withColumn(side, F.expr(f"array_join(transform({side}, s -> concat(s.start, '-', s.end)), ',')"))
+    return made
