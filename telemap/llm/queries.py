@@ -211,3 +211,18 @@ def op9_preferences(spark: SparkSession, folder: str) -> DataFrame:
     for side in ("chosen_mask", "rejected_mask"):
         made = made.withColumn(side, F.expr(f"array_join(transform({side}, s -> concat(s.start, '-', s.end)), ',')"))
     return made
+
+
+@REGISTRY.query()
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the license passages in it."""
+    from telemap.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.array_sort(F.array_distinct("licenses.template")), ",").alias("templates"),
+        F.coalesce(F.array_max("licenses.coverage"), F.lit(0.0)).alias("coverage"),
+        "licenses",
+    )
