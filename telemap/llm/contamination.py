@@ -29,7 +29,7 @@ CHUNK = 1 << 20
 #: a proximity match has all words of a window within this many words of its rarest one
 NEAR = 20
 
-INDEX = "segment long, ids array<long>, sizes array<int>, terms binary, ends binary, positions binary"
+INDEX = "segment long, ids array<long>, ths array<long>, sizes array<int>, terms binary, ends binary, positions binary"
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -42,7 +42,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         number = (TaskContext.get().partitionId() << 32) - 1
         for batch in slices(batches, 1):
             found = words(batch.column(1), LETTERS)
-            ids = batch.column(0).to_pylist()
+            ids, ths = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             at = 0
             while at < len(found):
                 to = max(at + 1, int(np.searchsorted(found.ends, found.ends[at] + SEGMENT, "right")) - 1)
@@ -54,6 +54,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                     {
                         "segment": pa.array([number], pa.int64()),
                         "ids": pa.array([ids[at:to]], pa.list_(pa.int64())),
+                        "ths": pa.array([ths[at:to]], pa.list_(pa.int64())),
                         "sizes": pa.array([np.diff(found.ends[at : to + 1]).astype(np.int32)], pa.list_(pa.int32())),
                         "terms": pa.array([terms.tobytes()], pa.binary()),
                         "ends": pa.array([np.append(first[1:], len(hashes)).astype(np.int32).tobytes()], pa.binary()),
@@ -62,7 +63,8 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 )
                 at = to
 
-    return cut(docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(segments, INDEX))
+    source = docs.select(F.col(key).cast("long"), F.col(text).cast("string"), F.xxhash64(F.col(text)))
+    return cut(source.mapInArrow(segments, INDEX))
 
 
 def phrase_windows(items: DataFrame, size: int = WINDOW, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -279,19 +281,24 @@ def find_phrases(index: DataFrame, windows: DataFrame, size: int = WINDOW, reach
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, reach: int = NEAR) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items, n_near_items, spans``: a row for each row of ``docs``.
+    """``doc_id, th, n_words, n_hit, n_items, items, n_near_items, spans``: a row for each row of ``docs``.
 
     Words are runs of letters, digits and characters beyond ASCII, with A-Z lowered. A
     document word inside any occurrence of an item's window is hit. ``items`` are ids
     (as strings) of items with an exact match, ``n_near_items`` counts those with a
-    proximity match, ``spans`` holds start and length of the matches in words. Words
+    proximity match, ``spans`` holds start and length of the matches in words, ``th`` is
+    the text's ``xxhash64``. Words
     are compared by 64-bit hash, a window therefore by all its hashes. Repeated rows
     are judged one by one, null texts have no words, and either table may be empty.
     """
     index = build_index(docs)
     found = find_phrases(index, phrase_windows(items, size), size, reach)
-    rows = index.select("segment", F.posexplode(F.arrays_zip("ids", "sizes"))).select(
-        "segment", F.col("pos").alias("nth"), F.col("col.ids").alias("doc_id"), F.col("col.sizes").cast("long").alias("n_words")
+    rows = index.select("segment", F.posexplode(F.arrays_zip("ids", "ths", "sizes"))).select(
+        "segment",
+        F.col("pos").alias("nth"),
+        F.col("col.ids").alias("doc_id"),
+        F.col("col.ths").alias("th"),
+        F.col("col.sizes").cast("long").alias("n_words"),
     )
     hit = F.expr(
         "aggregate(array_sort(spans), struct(0L AS n, 0 AS until), (a, s) -> struct("
@@ -300,6 +307,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, reach:
     )
     return rows.join(cut(found), ["segment", "nth"], "left").select(
         "doc_id",
+        "th",
         "n_words",
         F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
