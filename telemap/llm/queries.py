@@ -226,3 +226,35 @@ def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.array_max("licenses.coverage"), F.lit(0.0)).alias("coverage"),
         "licenses",
     )
+
+
+@REGISTRY.query(
+    """
+WITH line AS (
+  SELECT doc_id, i - 1 AS line, regexp_extract_all(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[^\\x20\\x09-\\x0D]+') AS w
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+own AS (SELECT doc_id, line, list_sort(list_distinct(w)) AS w FROM line WHERE len(w) > 0),
+sets AS (SELECT row_number() OVER () AS c, w, len(w) AS n, f FROM (SELECT w, min((doc_id, line)) AS f FROM own GROUP BY 1)),
+word AS (SELECT c, n, f, unnest(w) AS x FROM sets),
+late AS (SELECT DISTINCT c FROM (
+  SELECT a.c FROM word a JOIN word b ON a.x = b.x AND a.c <> b.c AND a.f > b.f
+  WHERE 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*)))),
+gone AS (SELECT own.doc_id, own.line FROM own JOIN sets USING (w) WHERE (own.doc_id, own.line) > f OR c IN (SELECT c FROM late))
+SELECT d.doc_id, (SELECT count(*) FROM own WHERE own.doc_id = d.doc_id) AS n_lines,
+       (SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id) AS n_removed,
+       coalesce((SELECT string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FROM gone WHERE gone.doc_id = d.doc_id), '') AS removed
+FROM documents d
+"""
+)
+def op2_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the lines that repeat an earlier line."""
+    from telemap.llm.lines import repeated_lines
+
+    return repeated_lines(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_lines",
+        F.size("removed_lines").cast("long").alias("n_removed"),
+        F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed"),
+    )
