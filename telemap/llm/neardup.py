@@ -198,17 +198,105 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "na", "nb", "la", "lb", "xa", "xb").mapInArrow(verify, "a long, b long")
 
 
+DIFFERENCE = "g long, node long, lead long, n int, common int, linked boolean, novel array<long>"
+
+
+def _against_lead(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """What each node shares with the ``lead`` of its group ``g``, and its shingles that the lead lacks."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, common, linked, novel = [], [], [], []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+                both = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                n.append(len(x))
+                common.append(int(both.sum()))
+                linked.append(100 * common[-1] >= PERCENT * (len(x) + len(y) - common[-1]))
+                novel.append(x[~both].view(np.int64))
+            yield pa.RecordBatch.from_pydict(
+                {c: batch.column(c) for c in ("g", "node", "lead")}
+                | {
+                    "n": pa.array(n, pa.int32()),
+                    "common": pa.array(common, pa.int32()),
+                    "linked": pa.array(linked, pa.bool_()),
+                    "novel": pa.array(novel, pa.list_(pa.int64())),
+                }
+            )
+
+    own = sets.select("node", F.col("shingles").alias("a"))
+    full = pairs.join(own, "node").join(own.select(F.col("node").alias("lead"), F.col("a").alias("b")), "lead")
+    return full.select("g", "node", "lead", "a", "b").mapInArrow(compare, DIFFERENCE)
+
+
+def _beyond_leaders(
+    entries: DataFrame, labels: DataFrame, edges: DataFrame, sets: DataFrame, tested: DataFrame
+) -> DataFrame:
+    """All links needed inside bands that still hold more than one component; ``edges`` if there is no such band.
+
+    Nodes that such bands connect form a group, and its smallest set is the lead. Let x
+    be similar to y but not to the lead l. Did they share nothing outside l, then |x & y|
+    <= |x & l|, and as |l| <= |y| x would be similar to l. So they share shingles outside
+    l: at least the common ones that similarity asks for less those that x shares with
+    l. These novel shingles are joined by a prefix filter: each node enters its rarest
+    ones in the group, so many that two similar nodes must meet in one.
+    """
+    unsettled = entries.join(labels, "node", "left").select("band", "node", "leader", F.coalesce("component", "node").alias("c"))
+    apart = unsettled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("band")
+    near = cut(unsettled.join(cut(apart), "band", "left_semi").filter("node <> leader").select("node", "leader"))
+    if not near.limit(1).count():
+        return edges
+    groups = components(near, "node", "leader").withColumnRenamed("component", "g")
+    sized = groups.join(sets.select("node", "n"), "node")
+    leads = sized.groupBy("g").agg(F.min(F.struct("n", "node"))["node"].alias("lead"))
+    pairs = groups.join(cut(leads), "g").filter("node <> lead").select("g", "node", "lead")
+    diffs = cut(_against_lead(pairs, sets))
+    edges = cut(edges.union(diffs.filter("linked").select("node", "lead")))
+    labels = components(edges)
+    # a group that is one component by now is settled
+    split = groups.join(labels, "node", "left").select("g", F.coalesce("component", "node").alias("c"), "node")
+    open_ = split.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("g")
+    split = cut(split.join(cut(open_), "g", "left_semi"))
+    diffs = diffs.join(split, ["g", "node"])
+    novel = diffs.select("g", "node", F.explode("novel").alias("e"))
+    held = cut(novel.groupBy("g", "e").agg(F.count("*").alias("many")).filter("many > 1"))
+    own = Window.partitionBy("g", "node")
+    shared = (
+        novel.join(held, ["g", "e"])
+        .withColumn("rank", F.row_number().over(own.orderBy("many", "e")))
+        .withColumn("met", F.count("*").over(own))
+    )
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * PERCENT / 100) - F.col("common"))
+    entered = cut(
+        shared.join(diffs.select("g", "node", "c", "n", "common", "linked"), ["g", "node"])
+        .filter(F.col("rank") <= F.col("met") - need + 1)
+        .select("g", "e", "node", "c", "n", "common", "linked", (F.col("met") - F.col("rank") + 1).alias("left"))
+    )
+    # at the first shingle that two nodes share, each has ``left`` ones that others hold, this one included
+    other = entered.select("g", "e", *[F.col(c).alias(f"{c}_2") for c in ("node", "c", "n", "common", "linked", "left")])
+    rest = f"ceil({PERCENT} * (n + n_2) / {100 + PERCENT}) - least(common, common_2)"
+    found = (
+        entered.filter("NOT linked")
+        .join(other, ["g", "e"])
+        .filter("c <> c_2 AND (linked_2 OR node > node_2)")
+        .filter(f"100 * least(n, n_2) >= {PERCENT} * greatest(n, n_2) AND least(left, left_2) >= {rest}")
+        .select(F.col("node").alias("a"), F.col("node_2").alias("b"))
+        .distinct()
+    )
+    fresh = found.join(tested, ["a", "b"], "left_anti")
+    return cut(edges.union(_linked(cut(fresh), sets)))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ord, th, rid, n_shingles, component, component_id``: a row for each row of ``docs``.
 
     A document's set holds its distinct five-word shingles (A-Z lowered); one of fewer
     words is a single shingle, one without words or text has an empty set and is linked
-    with nothing. Documents of equal sets are one node. Nodes that share a band are
-    compared with the node of the smallest number in it; bands that then still hold more
-    than one component are compared further, with twice as many leaders in each round,
-    until every pair of different components in a band has been compared. So groups of
-    any size cost a line for each member, and no link between different texts is left
-    out. ``component_id`` is the smallest id reachable; ids may repeat or be null, the
+    with nothing. Documents of equal sets are one node. The nodes of a band are compared
+    with its smallest set; where bands then still hold more than one component, the
+    nodes they connect are compared by the shingles that their smallest set lacks. Both
+    take a line for each member of a group, whatever its size, and leave out no link
+    between nodes of a band. ``component_id`` is the smallest id reachable; ids may repeat or be null, the
     rows are then told apart by ``rid``, and a component of null ids has id null.
     """
     rows = keyed(docs, key, text)
@@ -219,7 +307,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nodes = filled.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi")
     entries = nodes.select(F.explode("bands").alias("band"), F.col("rid").alias("node"), F.col("n_shingles").alias("n"))
     shared = cut(
-        entries.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("band", "leader")
+        entries.groupBy("band")
+        .agg(F.min(F.struct("n", "node"))["node"].alias("leader"), F.min("node").alias("low"), F.max("node").alias("high"))
+        .filter("low < high")
+        .select("band", "leader")
     )
     entries = cut(entries.join(shared, "band"))
     near_size = F.expr(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
@@ -237,40 +328,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .select("a", F.col("leader").alias("b"))
     )
     edges = cut(_linked(tested, sets))
-    labels = components(edges)
-    reach = 1
-    while True:
-        unsettled = (
-            entries.select("band", "node", "n")
-            .join(labels, "node", "left")
-            .select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-        )
-        apart = unsettled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many"))
-        apart = cut(apart.filter(f"low < high AND many > {reach}").select("band"))
-        if not apart.limit(1).count():
-            break
-        ranked = cut(
-            unsettled.join(apart, "band").withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("node")) - 1)
-        )
-        lead = ranked.filter(f"rank >= {reach} AND rank <= {2 * reach}")
-        lead = lead.select(
-            "band", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("rank").alias("place")
-        )
-        more = (
-            ranked.join(lead, "band")
-            .filter("rank > place AND component <> other")
-            .filter(near_size)
-            .select(F.col("node").alias("a"), F.col("leader").alias("b"))
-            .distinct()
-        )
-        # the smaller node is always the leader, so a pair that was compared looks the same
-        more = cut(more.join(tested, ["a", "b"], "left_anti"))
-        if more.limit(1).count():
-            found = cut(_linked(more, sets))
-            edges = cut(edges.union(found))
-            labels = components(edges)
-            tested = cut(tested.union(more))
-        reach = 2 * reach + 1
+    labels = components(_beyond_leaders(entries, components(edges), edges, sets, tested))
     forget(sets, entries, shared)
 
     named = labels.join(classes.select("node", "first"), "node")
