@@ -34,8 +34,9 @@ MAX_PIVOTS = 512
 SIGNATURE = 32
 CHUNK_PRODUCTS = 8_000_000
 
-# Distances are compared at this precision, ties going to the smaller id.
-DIGITS = {"hellinger": 6, "cosine": 6, "euclid": 9}
+# Distances are compared at the precision that their arithmetic has, so that the order
+# of a sum decides nothing; ties go to the smaller id.
+DIGITS = {"hellinger": 9, "cosine": 12, "euclid": 9}
 
 
 def _to_metric(kind: str, dist):

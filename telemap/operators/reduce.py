@@ -368,8 +368,6 @@ def compress(
     if centre:
         total = rows.agg(vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias("m"))
         mean = np.asarray(total.first()["m"])
-    if width <= k and not centre:
-        return rows.select("id", "vec")
     sketch = min(width, k + oversample)
     rng = np.random.default_rng(0)
     basis = np.linalg.qr(rng.standard_normal((width, sketch)))[0]

@@ -47,9 +47,19 @@ def information_weights(bag: DataFrame, prior: float = 0.0) -> DataFrame:
     return sums.select("col_id", F.greatest(bits, F.lit(0.0)).alias("bits"))
 
 
+#: columns of fewer bits tell nothing: every row holds them in proportion to its size,
+#: and what is left is the rounding of the sums
+NO_BITS = 1e-9
+
+
 def reweight(bag: DataFrame, weights: DataFrame, drop_zero: bool = False) -> DataFrame:
-    """Counts to bits: ``w = n * bits`` of the column."""
+    """Counts to bits: ``w = n * bits`` of the column; with ``drop_zero`` without columns of no bits.
+
+    A row may lose all its entries; callers that need every row keep its id beside the bag.
+    """
+    if drop_zero:
+        weights = weights.filter(F.col("bits") > NO_BITS)
     out = bag.join(weights, "col_id").select(
         "row_id", "col_id", (F.col("n") * F.col("bits")).alias("w")
     )
-    return out.filter("w > 0") if drop_zero else out
+    return out

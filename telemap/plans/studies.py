@@ -46,18 +46,34 @@ class Options:
     levels: int = cluster.LEVELS
 
 
-def _weigh(bag: DataFrame) -> DataFrame:
+def _weigh(bag: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The weighted bag, and the ids of all rows, with or without a column that has bits."""
     bag = cut(bag)
-    return cut(weights.reweight(bag, weights.information_weights(bag), drop_zero=True))
+    ids = cut(bag.select(F.col("row_id").alias("id")).distinct())
+    return cut(weights.reweight(bag, weights.information_weights(bag), drop_zero=True)), ids
+
+
+def _every(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """Results for every id; a row that no column tells apart has null vector and place."""
+    return cut(ids.join(found, "id", "left"))
+
+
+def _sound(faults: DataFrame, message: str) -> None:
+    """Raise with a few examples if a check found anything."""
+    some = faults.limit(3).collect()
+    if some:
+        raise ValueError(f"{message}: {some}")
 
 
 def command_lines(processes: DataFrame, opts: Options | None = None) -> Results:
     """Unique command lines as bags of tokens: weights, Hellinger map, annotations."""
     opts = opts or Options()
     uniq = cut(bags.uniques(processes, "cmdline", "pid_hash", ["timestamp", "hostname"]))
+    _sound(bags.clashing_ids(uniq), "object ids collide")
     tokens = cut(tokenize(uniq, "obj").select("obj_id", "tokens").filter("tokens IS NOT NULL"))
-    wbag = _weigh(bags.bag(tokens, "obj_id", "tokens"))
-    points = layout.map_bags(wbag, opts.neighbors, opts.epochs)
+    wbag, _ = _weigh(bags.bag(tokens, "obj_id", "tokens"))
+    ids = uniq.select(F.col("obj_id").alias("id"))
+    points = _every(ids, layout.map_bags(wbag, opts.neighbors, opts.epochs))
 
     top = cut(bags.top_values(processes, "name", opts.top_labels))
     firsts = uniq.join(
@@ -85,12 +101,14 @@ def command_line_vectors(study: Results, opts: Options | None = None) -> Results
     opts = opts or Options()
     table = cut(cooccurrence.smooth_cooccurrence(study["tokens"], n_iter=opts.smoothing))
     tokens = cut(reduce.token_vectors(table, opts.vector_width))
-    vectors = cut(
+    found = cut(
         transport.transport_embedding(
             study["weighted_bag"], tokens, opts.cloud, opts.embedding_width
         )
     )
-    points = layout.map_vectors(vectors, opts.neighbors, opts.epochs)
+    ids = study["uniques"].select(F.col("obj_id").alias("id"))
+    vectors = _every(ids, found)
+    points = _every(ids, layout.map_vectors(found, opts.neighbors, opts.epochs))
     return {
         "token_vectors": tokens,
         "token_map": layout.map_vectors(tokens, opts.neighbors, opts.epochs),
@@ -103,10 +121,12 @@ def command_line_vectors(study: Results, opts: Options | None = None) -> Results
 def image_loads(processes: DataFrame, loads: DataFrame, opts: Options | None = None) -> Results:
     """Processes as bags of loaded images: vectors, map, clusters and topics."""
     opts = opts or Options()
-    wbag = _weigh(bags.bag_of_pairs(loads, "pid_hash", "filename"))
+    _sound(bags.multiplied_rows(processes), "processes come twice")
+    wbag, ids = _weigh(bags.bag_of_pairs(loads, "pid_hash", "filename"))
     items = cut(reduce.item_vectors(wbag, opts.vector_width))
-    vectors = cut(transport.transport_embedding(wbag, items, opts.cloud, opts.embedding_width))
-    points = cut(layout.map_vectors(vectors, opts.neighbors, opts.epochs))
+    placed = cut(transport.transport_embedding(wbag, items, opts.cloud, opts.embedding_width))
+    vectors = _every(ids, placed)
+    points = _every(ids, layout.map_vectors(placed, opts.neighbors, opts.epochs))
     found = cut(cluster.density_clusters(points, opts.min_cluster, opts.levels))
     topics = labels.cluster_topics(wbag, found)
     named = maps.label_points(found, topics)
@@ -146,10 +166,15 @@ def host_times(
     )
     edges = instances.select("row_id", "obj_id", F.lit(1).alias("n"))
     columns = cmdline_vectors.select(F.col("id").alias("col_id"))
-    wbag = _weigh(bags.edges_to_bag(edges, ["row_id"], "obj_id", "n", columns))
-    vectors = cut(transport.lift(wbag, cmdline_vectors, n_ref=opts.cloud, dim=opts.embedding_width))
-    points = cut(layout.map_vectors(vectors, opts.neighbors, opts.epochs))
+    wbag, ids = _weigh(bags.edges_to_bag(edges, ["row_id"], "obj_id", "n", columns))
+    known = cmdline_vectors.filter(F.col("vec").isNotNull())
+    placed = cut(transport.lift(wbag, known, n_ref=opts.cloud, dim=opts.embedding_width))
+    vectors = _every(ids, placed)
+    points = _every(ids, layout.map_vectors(placed, opts.neighbors, opts.epochs))
     found = cut(cluster.density_clusters(points, opts.min_cluster, opts.levels, select="leaf"))
+    bits = labels.cluster_bits(wbag, found.filter("cluster >= 0"))
+    members = labels.cluster_members(instances, found)
+    _sound(labels.unmatched_bits(bits, members), "objects of a cluster that none of its members ran")
     names = labels.workload_labels(wbag, found, instances)
     rows = instances.select(F.col("row_id").alias("id"), "hostname", "bin").distinct()
     hover = rows.select("id", host_time_text(F.col("hostname"), F.col("bin")).alias("hover_text"))
@@ -169,7 +194,7 @@ def comparison(study: Results, vectors: DataFrame, opts: Options | None = None)
     """The vector map started at the bag map and aligned to it, side by side."""
     opts = opts or Options()
     base = maps.valid_points(study["map"])
-    kept = vectors.join(base.select("id"), "id", "left_semi")
+    kept = vectors.filter(F.col("vec").isNotNull()).join(base.select("id"), "id", "left_semi")
     warm = layout.map_vectors(kept, opts.neighbors, opts.epochs, start=base)
     return maps.compare_maps(base, warm, study["annotations"])
 

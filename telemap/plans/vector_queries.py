@@ -32,17 +32,17 @@ def _hellinger_sql(k: int) -> str:
     p AS (SELECT row_id, col_id, sqrt(w / sum(w) OVER (PARTITION BY row_id)) AS v
           FROM wbag WHERE w > 0),
     pairs AS (SELECT a.row_id AS id, b.row_id AS neighbor,
-                     round(sqrt(greatest(1 - sum(a.v * b.v), 0)), 6) AS dist
+                     round(sqrt(greatest(1 - sum(a.v * b.v), 0)), 9) AS dist
               FROM p a JOIN p b ON a.col_id = b.col_id AND a.row_id <> b.row_id GROUP BY 1, 2),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, neighbor) AS r FROM pairs)
-    SELECT id, neighbor, dist + 0.0 AS dist FROM ranked WHERE r <= {k}"""
+    SELECT id, neighbor, round(dist, 6) + 0.0 AS dist FROM ranked WHERE r <= {k}"""
 
 
 @query(f"WITH {inputs.ITEM_BAG_SQL}, {inputs.WEIGHTS_SQL}, {_hellinger_sql(15)}")
 def knn_hellinger_items(spark: SparkSession, folder: str) -> DataFrame:
     """V6 on item bags."""
     return neighbors.knn_hellinger(item_wbag(spark, folder)).select(
-        "id", "neighbor", (F.col("dist") + 0.0).alias("dist")
+        "id", "neighbor", (F.round("dist", 6) + 0.0).alias("dist")
     )
 
 
@@ -50,16 +50,16 @@ def knn_hellinger_items(spark: SparkSession, folder: str) -> DataFrame:
 def knn_hellinger_docs(spark: SparkSession, folder: str) -> DataFrame:
     """V6 on whole documents."""
     return neighbors.knn_hellinger(document_wbag(spark, folder)).select(
-        "id", "neighbor", (F.col("dist") + 0.0).alias("dist")
+        "id", "neighbor", (F.round("dist", 6) + 0.0).alias("dist")
     )
 
 
 @query(
     """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-       pairs AS (SELECT a.id, b.id AS neighbor, round(1 - list_cosine_similarity(a.v, b.v), 6) AS dist
+       pairs AS (SELECT a.id, b.id AS neighbor, round(1 - list_cosine_similarity(a.v, b.v), 12) AS dist
                  FROM e a JOIN e b ON a.id <> b.id),
        ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, neighbor) AS r FROM pairs)
-       SELECT id, neighbor, dist + 0.0 AS dist FROM ranked WHERE r <= 15"""
+       SELECT id, neighbor, round(dist, 6) + 0.0 AS dist FROM ranked WHERE r <= 15"""
 )
 def knn_cosine(spark: SparkSession, folder: str) -> DataFrame:
     """V7 V9: exact nearest vectors by cosine distance."""
@@ -67,7 +67,7 @@ def knn_cosine(spark: SparkSession, folder: str) -> DataFrame:
         F.col("vec_id").alias("id"), F.col("embedding").alias("vec")
     )
     return neighbors.knn_cosine(vectors).select(
-        "id", "neighbor", (F.col("dist") + 0.0).alias("dist")
+        "id", "neighbor", (F.round("dist", 6) + 0.0).alias("dist")
     )
 
 
@@ -99,10 +99,6 @@ def _listed(vectors: DataFrame, digits: int = 6) -> DataFrame:
     return vectors.select("id", F.size("vec").cast("long").alias("width"), text.alias("vec"))
 
 
-# Map queries take fewer epochs than the default to keep a check run short.
-EPOCHS = 8
-
-
 @query()
 def svd_items(spark: SparkSession, folder: str) -> DataFrame:
     """V5: truncated SVD of the weighted item bag."""
@@ -131,10 +127,10 @@ def token_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def transport_docs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as distributions over token vectors."""
     tokens = cut(inputs.document_tokens(spark, folder))
-    vectors = cut(token_vectors_of(tokens.select("tokens"), 16, 0))
+    vectors = cut(token_vectors_of(tokens.select("tokens"), 16, 3))
     bag = bags.bag(tokens, "doc_id", "tokens")
     wbag = cut(weights.reweight(bag, weights.information_weights(bag), drop_zero=True))
-    return _listed(transport.transport_embedding(wbag, vectors, n_ref=16, dim=16), 3)
+    return _listed(transport.transport_embedding(wbag, vectors), 3)
 
 
 def _cmdline_vectors(instances: DataFrame) -> DataFrame:
@@ -144,7 +140,7 @@ def _cmdline_vectors(instances: DataFrame) -> DataFrame:
     vectors = cut(token_vectors_of(tokens.select("tokens"), 16, 3))
     bag = bags.bag(tokens, "obj_id", "tokens")
     wbag = cut(weights.reweight(bag, weights.information_weights(bag), drop_zero=True))
-    return transport.transport_embedding(wbag, vectors, n_ref=8, dim=16)
+    return transport.transport_embedding(wbag, vectors)
 
 
 def _host_wbag(instances: DataFrame) -> DataFrame:
@@ -157,7 +153,7 @@ def lift_hosts(spark: SparkSession, folder: str) -> DataFrame:
     """Host-times as distributions over command-line vectors."""
     instances = cut(inputs.host_instances(spark, folder))
     vectors = cut(_cmdline_vectors(instances))
-    return _listed(transport.lift(cut(_host_wbag(instances)), vectors, n_ref=8, dim=16), 3)
+    return _listed(transport.lift(cut(_host_wbag(instances)), vectors), 3)
 
 
 @query()
@@ -169,7 +165,7 @@ def pca_start(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """WITH RECURSIVE e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-       pairs AS (SELECT a.id, b.id AS neighbor, round(1 - list_cosine_similarity(a.v, b.v), 6) AS dist
+       pairs AS (SELECT a.id, b.id AS neighbor, round(1 - list_cosine_similarity(a.v, b.v), 12) AS dist
                  FROM e a JOIN e b ON a.id <> b.id),
        ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, neighbor) AS r FROM pairs),
        knn AS (SELECT id, neighbor, dist FROM ranked WHERE r <= 15),
@@ -208,13 +204,13 @@ def _rounded(points: DataFrame) -> DataFrame:
 @query()
 def map_docs(spark: SparkSession, folder: str) -> DataFrame:
     """Hellinger map of whole documents."""
-    return _rounded(layout.map_bags(cut(document_wbag(spark, folder)), epochs=EPOCHS))
+    return _rounded(layout.map_bags(cut(document_wbag(spark, folder))))
 
 
 @query()
 def map_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Cosine map of vectors."""
-    return _rounded(layout.map_vectors(embedding_vectors(spark, folder), epochs=EPOCHS))
+    return _rounded(layout.map_vectors(embedding_vectors(spark, folder)))
 
 
 @query()
@@ -222,20 +218,20 @@ def map_warm(spark: SparkSession, folder: str) -> DataFrame:
     """A cosine map started at another map."""
     start = label_queries.plane(spark, folder).select("id", "x", "y")
     return _rounded(
-        layout.map_vectors(embedding_vectors(spark, folder), epochs=EPOCHS, start=start)
+        layout.map_vectors(embedding_vectors(spark, folder), start=start)
     )
 
 
 @query()
 def density_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Most stable density clusters of map points."""
-    return cluster.density_clusters(label_queries.plane(spark, folder), levels=6)
+    return cluster.density_clusters(label_queries.plane(spark, folder))
 
 
 @query()
 def leaf_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Finest density clusters of map points."""
-    return cluster.density_clusters(label_queries.plane(spark, folder), levels=6, select="leaf")
+    return cluster.density_clusters(label_queries.plane(spark, folder), select="leaf")
 
 
 def _closed_bins_sql() -> str:
