@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from telemap.operators import bags, cooccurrence, hosttime, weights
 from telemap.operators.neighbors import disconnected_rows
 from telemap.plans import Registry, inputs
+from telemap.session import cut
 from telemap.sources import read_source
 
 REGISTRY = Registry()
@@ -214,7 +215,7 @@ def info_weights_prior(spark: SparkSession, folder: str) -> DataFrame:
 )
 def reweighted_docs(spark: SparkSession, folder: str) -> DataFrame:
     """V1: counts to bits, summed per document."""
-    bag = inputs.document_bag(spark, folder)
+    bag = cut(inputs.document_bag(spark, folder))
     wbag = weights.reweight(bag, weights.information_weights(bag))
     return wbag.groupBy("row_id").agg(
         F.count(F.lit(1)).alias("n_cols"), (F.round(F.sum("w"), 4) + 0.0).alias("bits")
@@ -256,11 +257,8 @@ def col_totals(spark: SparkSession, folder: str) -> DataFrame:
 def windowed_cooc(spark: SparkSession, folder: str) -> DataFrame:
     """V2: ordered co-occurrence within five places, flat and harmonic kernels."""
     tokens = inputs.document_tokens(spark, folder)
-    flat = cooccurrence.windowed_cooccurrence(tokens)
-    near = cooccurrence.windowed_cooccurrence(tokens, kernel="harmonic")
-    return flat.join(near.withColumnRenamed("w", "h"), ["c1", "c2"]).select(
-        "c1", "c2", "w", F.round("h", 6).alias("harmonic")
-    )
+    both = cooccurrence.windowed_cooccurrence(tokens, kernel=("flat", "harmonic"))
+    return both.select("c1", "c2", F.col("flat").alias("w"), F.round("harmonic", 6).alias("harmonic"))
 
 
 _TALK_TOKENS_SQL = f"""

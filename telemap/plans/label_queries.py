@@ -208,8 +208,8 @@ _HOST_SQL = f"""{inputs.HOST_INSTANCES_SQL},
 
 
 def _host_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    instances = inputs.host_instances(spark, folder)
-    bag = bags.bag_of_pairs(instances, "row_id", "obj_id")
+    instances = cut(inputs.host_instances(spark, folder))
+    bag = cut(bags.bag_of_pairs(instances, "row_id", "obj_id"))
     wbag = weights.reweight(bag, weights.information_weights(bag))
     return wbag, host_clusters(instances), instances
 
