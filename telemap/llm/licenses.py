@@ -150,20 +150,28 @@ def matches(index: Index, text: np.ndarray, place: np.ndarray, template: np.ndar
         order = np.argsort(shift, kind="stable")
         for g in range(int(group[-1]) + 1):
             members = order[group == g]
-            low, high = int(shift[members].min()), int(shift[members].max())
-            band = BAND + (high - low + 1) // 2
-            middle = (low + high) // 2
-            begin = max(0, int(at[members].min()) - len(own) - band)
-            end = min(len(text), int(at[members].max()) + len(own) + band + GRAM)
-            found, spans = align(own, text[begin:end], middle - begin, band)
-            if found >= COVERAGE * len(own):
+            free = text.copy()  # words that no copy of this template has taken
+            while len(members):
+                low, high = int(shift[members].min()), int(shift[members].max())
+                band = BAND + (high - low + 1) // 2
+                middle = (low + high) // 2
+                begin = max(0, int(at[members].min()) - len(own) - band)
+                end = min(len(text), int(at[members].max()) + len(own) + band + GRAM)
+                found, spans = align(own, free[begin:end], middle - begin, band)
+                if found < COVERAGE * len(own):
+                    break
+                spans = [(begin + a, begin + b) for a, b in spans]
                 out.append(
                     {
                         "template": index.names[t],
                         "coverage": found / len(own),
-                        "spans": [{"start": begin + a, "end": begin + b} for a, b in spans],
+                        "spans": [{"start": a, "end": b} for a, b in spans],
                     }
                 )
+                for a, b in spans:
+                    free[a:b] = 0
+                outside = (at[members] + GRAM <= spans[0][0]) | (at[members] >= spans[-1][1])
+                members = members[outside]
     return sorted(out, key=lambda m: (m["spans"][0]["start"], m["template"]))
 
 
