@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemap.llm.rows import in_ranges, keyed, prefix_sums, send
@@ -204,7 +204,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = cut(numbered.select("row.*", F.col("rank").cast("long").alias("cid")))
     first = classes.select("s", "ord", "line", "th", "cid")
     # where a set was met before in the task its words are left out, the first place always has them
-    chosen = lines.filter(F.size("prefix") > 0).join(first, ["s", "ord", "line", "th"]).dropDuplicates(["cid"])
+    chosen = lines.filter(F.size("prefix") > 0).join(first, ["s", "ord", "line", "th"]).dropDuplicates(["s", "ord", "line", "th"])
     entries = chosen.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
     late = _resolve(rows, entries, classes)
     # every occurrence but the first goes, and the first where an earlier set is similar
