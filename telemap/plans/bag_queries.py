@@ -317,6 +317,23 @@ def disconnected(spark: SparkSession, folder: str) -> DataFrame:
     return disconnected_rows(inputs.document_bag(spark, folder))
 
 
+@query(
+    """WITH bag AS (SELECT event_id AS row_id, concat(user_id, ':', event_type) AS col_id FROM events),
+            df AS (SELECT col_id, count(*) AS d FROM bag GROUP BY 1)
+       SELECT row_id, max(d) = 1 AS disconnected FROM bag JOIN df USING (col_id) GROUP BY 1"""
+)
+def disconnected_events(spark: SparkSession, folder: str) -> DataFrame:
+    """V8: events whose user did nothing else of that type."""
+    acts = F.concat_ws(":", "user_id", "event_type").alias("col_id")
+    return disconnected_rows(read_source(spark, folder, "events").select(F.col("event_id").alias("row_id"), acts))
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def multiplied_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys that would multiply rows in a metadata join."""
+    return bags.multiplied_rows(read_source(spark, folder, "lineitem"), "l_orderkey")
+
+
 @query(
     f"""WITH {inputs.HOST_INSTANCES_SQL}
         SELECT pid_hash, hostname, epoch_us(bin) AS bin_us FROM instances

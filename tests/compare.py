@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -73,7 +74,11 @@ def main() -> None:
     spark = session(
         "compare",
         "local[8]",
-        **{"spark.driver.memory": "12g", "spark.sql.shuffle.partitions": "8"},
+        **{
+            "spark.driver.memory": "12g",
+            "spark.sql.shuffle.partitions": "8",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="telemap-"),
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     bad = 0

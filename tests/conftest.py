@@ -9,13 +9,17 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from telemap import session
 
     spark = session(
         "tests",
         "local[8]",
-        **{"spark.driver.memory": "10g", "spark.sql.shuffle.partitions": "8"},
+        **{
+            "spark.driver.memory": "10g",
+            "spark.sql.shuffle.partitions": "8",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
