@@ -318,13 +318,13 @@ def disconnected(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH bag AS (SELECT event_id AS row_id, concat(user_id, ':', event_type) AS col_id FROM events),
+    """WITH bag AS (SELECT event_id AS row_id, concat(user_id, ':', event_type, ':', CAST(ts AS DATE)) AS col_id FROM events),
             df AS (SELECT col_id, count(*) AS d FROM bag GROUP BY 1)
        SELECT row_id, max(d) = 1 AS disconnected FROM bag JOIN df USING (col_id) GROUP BY 1"""
 )
 def disconnected_events(spark: SparkSession, folder: str) -> DataFrame:
-    """V8: events whose user did nothing else of that type."""
-    acts = F.concat_ws(":", "user_id", "event_type").alias("col_id")
+    """V8: events whose user did nothing else of that type on that day."""
+    acts = F.concat_ws(":", "user_id", "event_type", F.to_date("ts")).alias("col_id")
     return disconnected_rows(read_source(spark, folder, "events").select(F.col("event_id").alias("row_id"), acts))
 
 
