@@ -287,7 +287,13 @@ def _factor(matrix, width: int, k: int, power: int) -> DataFrame:
     lead = np.argsort(values)[::-1][:k]
     sizes = np.sqrt(np.maximum(values[lead], 0.0))
     out = cut(_times(y, basis @ (vectors[:, lead] * sizes)))
-    return _times(out, np.diag(_signs(out, len(lead))))
+    return _padded(_times(out, np.diag(_signs(out, len(lead)))), k)
+
+
+def _padded(rows: DataFrame, k: int) -> DataFrame:
+    """``k`` columns always: zeros where the rank ends."""
+    missing = F.greatest(F.lit(0), F.lit(k) - F.size("vec"))
+    return rows.select("id", F.concat("vec", F.array_repeat(F.lit(0.0), missing)).alias("vec"))
 
 
 def _signs(rows: DataFrame, width: int) -> np.ndarray:
@@ -389,7 +395,7 @@ def compress(
                     {"id": pdf["id"], "vec": list((_stack(pdf["vec"]) - mean) @ turn)}
                 )
 
-    return rows.select("id", "vec").mapInPandas(project, _vec_schema(rows.schema["id"].dataType))
+    return _padded(rows.select("id", "vec").mapInPandas(project, _vec_schema(rows.schema["id"].dataType)), k)
 
 
 # Widest rows whose covariance MLlib may hold on the driver.

@@ -105,6 +105,35 @@ def svd_items(spark: SparkSession, folder: str) -> DataFrame:
     return _listed(reduce.truncated_svd(item_wbag(spark, folder), 16), 4)
 
 
+def _squared(vectors: DataFrame) -> DataFrame:
+    """Squared length of each vector."""
+    total = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v)
+    return vectors.select("id", (F.round(total, 4) + 0.0).alias("squared"))
+
+
+@query(
+    """WITH m AS (SELECT user_id AS id, event_type, CAST(count(*) AS DOUBLE) AS w FROM events GROUP BY 1, 2)
+       SELECT id, round(sum(w * w), 4) + 0.0 AS squared FROM m GROUP BY 1"""
+)
+def svd_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """V5: a decomposition of full rank keeps the length of every row."""
+    counts = read_source(spark, folder, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    triples = counts.select(
+        F.col("user_id").alias("row_id"), F.col("event_type").alias("col_id"), F.col("n").cast("double").alias("w")
+    )
+    return _squared(reduce.truncated_svd(triples, 16))
+
+
+@query(
+    """SELECT vec_id AS id,
+              round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * v)), 4) + 0.0 AS squared
+       FROM embeddings"""
+)
+def compressed_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """V5: turning vectors into all of their components keeps their length."""
+    return _squared(reduce.compress(embedding_vectors(spark, folder), 64))
+
+
 @query()
 def item_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """V3 V5: item vectors from the co-occurrence matrix, which is never formed."""
