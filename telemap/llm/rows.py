@@ -85,29 +85,29 @@ def prefix_sums(ranged: DataFrame, size: Column) -> DataFrame:
 def components(edges: DataFrame, first: str = "a", second: str = "b") -> DataFrame:
     """``node, component``: the smallest node that each node of an edge can reach.
 
-    Every round each node takes the smallest label among its neighbours and itself,
-    then the label of its label; labels only fall, and a round without change ends it.
+    Every round each node takes its smallest neighbour, if smaller than itself, as its
+    label, then the label of that label; edges between labels go on to the next round,
+    those within one are done. So a star is gone after one round, and what is left
+    shrinks by at least half.
     """
-    both = edges.select(F.col(first).alias("node"), F.col(second).alias("other")).union(
-        edges.select(F.col(second), F.col(first))
-    )
-    both = cut(both.distinct())
-    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")))
+    left = cut(edges.select(F.col(first).alias("a"), F.col(second).alias("b")).filter("a <> b").distinct())
+    labels = None
     while True:
-        seen = (
-            both.join(labels.select(F.col("node").alias("other"), F.col("component")), "other")
-            .groupBy("node")
-            .agg(F.min("component").alias("near"))
-        )
-        near = labels.join(seen, "node").select(
-            "node", F.col("component").alias("old"), F.least("component", "near").alias("component")
-        )
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        after = cut(near.join(jump, "component").select("node", "old", F.col("far").alias("component")))
-        changed = after.filter("component <> old").limit(1).count()
-        forget(labels)
-        labels = after.select("node", "component")
-        labels._cut_path = after._cut_path
-        if not changed:
-            forget(both)
+        both = left.union(left.select("b", "a"))
+        near = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+        far = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        hops = cut(near.join(far, "label").select("node", F.col("far").alias("label")))
+        if labels is None:
+            after = hops.withColumnRenamed("label", "component")
+        else:
+            moved = hops.select(F.col("node").alias("component"), F.col("label"))
+            after = cut(
+                labels.join(moved, "component", "left").select("node", F.coalesce("label", "component").alias("component"))
+            )
+        one = left.join(hops.select(F.col("node").alias("a"), F.col("label").alias("c")), "a")
+        two = one.join(hops.select(F.col("node").alias("b"), F.col("label").alias("d")), "b")
+        following = cut(two.filter("c <> d").select(F.col("c").alias("a"), F.col("d").alias("b")).distinct())
+        forget(left, near)
+        labels, left = after, following
+        if not left.limit(1).count():
             return labels
