@@ -180,7 +180,7 @@ def _resolve(rows: DataFrame, entries: DataFrame, classes: DataFrame) -> DataFra
         done = found if done is None else cut(done.union(found))
         tested = pairs if tested is None else cut(tested.union(pairs))
         low, high = high + 1, 2 * high + 2
-        open_ = cut(ranked.filter(F.col("rank") > low).join(found if open_ is ranked else done, "cid", "left_anti"))
+        open_ = cut(open_.filter(F.col("rank") > low).join(found, "cid", "left_anti"))
         if not open_.limit(1).count():
             return done
 
