@@ -67,8 +67,8 @@ SCANNED = "doc_id long, ord long, th long, lines array<struct<line:int,s:long,n:
 def scan(docs: DataFrame, often: np.ndarray) -> DataFrame:
     """For each row of a ``keyed`` table its lines with words: number, set hash, set size, rarest words.
 
-    The rarest words come in order of rarity, ties by hash. A set that the task has met
-    before goes without its words.
+    The rarest words come in order of rarity, ties by hash. Of a set's places in a slice
+    only the first by id, line and text hash has its words, in whatever order rows are read.
     """
     sent = send(docs.sparkSession, often)
     kind = pa.list_(pa.struct({"line": pa.int32(), "s": pa.int64(), "n": pa.int32(), "prefix": pa.list_(pa.int64())}))
@@ -86,14 +86,18 @@ def scan(docs: DataFrame, often: np.ndarray) -> DataFrame:
             order = np.lexsort((hashes, rare[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)], owner))
             nth = np.arange(len(hashes)) - begin[owner]
             used = np.flatnonzero(n)  # lines with words
-            _, first = np.unique(sets[used], return_index=True)
+            row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[used]
+            number = used - ends[row]
+            ids, texts = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("ord", "th"))
+            placed = np.lexsort((texts, number, ids, sets[used]))  # the order of a class's first place
+            first = np.ones(len(used), dtype=bool)
+            first[1:] = sets[used][placed][1:] != sets[used][placed][:-1]
             fresh = np.zeros(len(n), dtype=bool)
-            fresh[used[first]] = True
+            fresh[used[placed[first]]] = True
             keep = (nth < prefix_length(n)[owner]) & fresh[owner]
             rest = hashes[order][keep].view(np.int64)
             many = np.bincount(owner[keep], minlength=len(n))[used]
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), pa.array(rest))
-            number = (np.arange(len(n)) - np.repeat(ends[:-1], np.diff(ends)))[used]
             entries = pa.StructArray.from_arrays(
                 [pa.array(number.astype(np.int32)), pa.array(sets[used].view(np.int64)), pa.array(n[used].astype(np.int32)), prefix],
                 fields=list(kind.value_type),
@@ -203,7 +207,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     numbered = prefix_sums(in_ranges(firsts, F.col("ord"), F.col("line"), F.col("s")), F.lit(0))
     classes = cut(numbered.select("row.*", F.col("rank").cast("long").alias("cid")))
     first = classes.select("s", "ord", "line", "th", "cid")
-    # where a set was met before in the task its words are left out, the first place always has them
+    # a slice gives a set's words at its first place there, so the first place of all always has them
     chosen = lines.filter(F.size("prefix") > 0).join(first, ["s", "ord", "line", "th"]).dropDuplicates(["s", "ord", "line", "th"])
     entries = chosen.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
     late = _resolve(rows, entries, classes)

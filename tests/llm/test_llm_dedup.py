@@ -106,6 +106,19 @@ def test_lines_of_odd_documents(spark):
     assert left[3] is not None and "word" not in left[3]
 
 
+@pytest.mark.parametrize("ids", [[9, 5, 3, 8, -2], [None] * 5, [None, 5, 3, None, None]])
+def test_lines_read_in_any_order(spark, ids):
+    """A line's first place can be read after later ones, here all in one slice."""
+    line = "alpha beta gamma delta epsilon zeta eta theta"
+    texts = [f"one\ntwo\n{line} iota", f"three\n{line}", line, f"four\nfive\nsix\n{line} kappa", "seven\neight"]
+    docs = list(zip(ids, texts))
+    rows = [(i, t, "en", None, "x", 1, None, "n", 0.5) for i, t in docs]
+    found = L.repeated_lines(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    gone = sorted(((r["doc_id"], r["n_lines"], r["removed_lines"]) for r in found), key=str)
+    assert gone == brute.repeated_lines(docs)
+    assert sum(len(removed) for *_, removed in gone) == 3
+
+
 def test_prefix_is_long_enough():
     for n in range(1, 60):
         for m in range(n, 60):
