@@ -27,6 +27,8 @@ BLOCK_CELLS = 2_000_000
 TILE_CELLS = 32_000_000
 MAX_TILE_ENTRIES = 500_000
 MIN_TILE_ENTRIES = 50_000
+# Tasks that join R factors before the last one does.
+BRANCHES = 16
 
 
 def _vec_schema(id_type: T.DataType) -> T.StructType:
@@ -87,37 +89,54 @@ def sum_partials(parts: DataFrame) -> np.ndarray:
     return np.asarray(row["vec"]) if row else np.zeros(0)
 
 
-def _gram(rows: DataFrame, width: int) -> np.ndarray:
-    """``Y'Y`` of distributed rows: one width x width matrix per task, then summed."""
+def _triangle(rows: DataFrame, width: int) -> np.ndarray:
+    """R factor of distributed rows: one for each task, then a tree of them.
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros((width, width))
+    What travels are rows of R factors, at most ``width`` from each task.
+    """
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = np.zeros((0, width))
         for pdf in batches:
             if len(pdf):
-                y = _stack(pdf["vec"])
-                acc += y.T @ y
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "vec": [acc.ravel()]})
+                r = np.linalg.qr(np.vstack((r, _stack(pdf["vec"]))), mode="r")
+        if len(r):
+            yield pd.DataFrame({"vec": list(r)})
 
-    parts = rows.select("vec").mapInPandas(partial, "part int, vec array<double>")
-    return sum_partials(parts).reshape(width, width)
+    parts = rows.select("vec").mapInPandas(reduced, "vec array<double>")
+    for tasks in (BRANCHES, 1):
+        parts = parts.repartition(tasks).mapInPandas(reduced, "vec array<double>")
+    found = [row["vec"] for row in parts.toLocalIterator()]
+    return np.array(found) if found else np.zeros((1, width))
 
 
-def _times(rows: DataFrame, matrix: np.ndarray) -> DataFrame:
-    """Each row vector times a small matrix; no shuffle."""
+def _times(rows: DataFrame, *matrices: np.ndarray) -> DataFrame:
+    """Each row vector times small matrices, one after the other; no shuffle."""
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({"id": pdf["id"], "vec": list(_stack(pdf["vec"]) @ matrix)})
+                y = _stack(pdf["vec"])
+                for matrix in matrices:
+                    y = y @ matrix
+                yield pd.DataFrame({"id": pdf["id"], "vec": list(y)})
 
     return rows.select("id", "vec").mapInPandas(apply, _vec_schema(rows.schema["id"].dataType))
 
 
-def _whitener(gram: np.ndarray) -> np.ndarray:
-    """Matrix that makes the rows' columns orthonormal; null directions are dropped."""
-    values, vectors = np.linalg.eigh(gram)
-    keep = values > values.max() * 1e-13 if values.size and values.max() > 0 else values > 0
-    return vectors[:, keep] / np.sqrt(values[keep])
+def _orthonormal(rows: DataFrame, width: int) -> list[np.ndarray]:
+    """Matrices that, applied in turn, make the rows' columns orthonormal.
+
+    Two passes: rounding of the first spoils the angles of the smallest directions,
+    which the second mends. Only directions that rounding cannot tell from zero go.
+    """
+    steps: list[np.ndarray] = []
+    for _ in range(2):
+        _, sizes, turn = np.linalg.svd(_triangle(_times(rows, *steps), width), full_matrices=False)
+        keep = sizes > sizes.max() * width * np.finfo(float).eps
+        steps.append(turn[keep].T / sizes[keep] if keep.any() else np.zeros((width, 1)))
+        width = steps[-1].shape[1]
+    return steps
 
 
 class TripleMatrix:
@@ -276,22 +295,20 @@ def _random_signs(ids: DataFrame, width: int) -> DataFrame:
 def _factor(matrix, width: int, k: int, power: int) -> DataFrame:
     """``U S`` of the leading ``k`` components, signs fixed."""
     y = cut(matrix.times(_random_signs(matrix.columns(), width)))
-    basis = _whitener(_gram(y, width))
+    basis = _orthonormal(y, width)
     for _ in range(power):
-        z = cut(matrix.transposed_times(_times(y, basis)))
-        turn = _whitener(_gram(z, basis.shape[1]))
-        y = cut(matrix.times(_times(z, turn)))
-        basis = _whitener(_gram(y, turn.shape[1]))
-    z = matrix.transposed_times(_times(y, basis))
-    values, vectors = np.linalg.eigh(_gram(z, basis.shape[1]))
-    lead = np.argsort(values)[::-1][:k]
-    sizes = np.sqrt(np.maximum(values[lead], 0.0))
-    out = cut(_times(y, basis @ (vectors[:, lead] * sizes)))
-    return _padded(_times(out, np.diag(_signs(out, len(lead)))), k)
+        z = cut(matrix.transposed_times(_times(y, *basis)))
+        turn = _orthonormal(z, basis[-1].shape[1])
+        y = cut(matrix.times(_times(z, *turn)))
+        basis = _orthonormal(y, turn[-1].shape[1])
+    z = matrix.transposed_times(_times(y, *basis))
+    _, sizes, turn = np.linalg.svd(_triangle(z, basis[-1].shape[1]), full_matrices=False)
+    out = cut(_times(y, *basis, turn[:k].T * sizes[:k]))
+    return _padded(_times(out, np.diag(_signs(out, len(sizes[:k])))), k)
 
 
 def _padded(rows: DataFrame, k: int) -> DataFrame:
-    """``k`` columns always: zeros where the rank ends."""
+    """``k`` columns always: zeros where the rank, to rounding, ends."""
     missing = F.greatest(F.lit(0), F.lit(k) - F.size("vec"))
     return rows.select("id", F.concat("vec", F.array_repeat(F.lit(0.0), missing)).alias("vec"))
 

@@ -132,6 +132,35 @@ def test_folded_vectors_equal_explicit_product(spark):
             assert np.allclose(folded[f"c{i}"], direct[f"c{i}"], rtol=1e-3, atol=1e-3)
 
 
+@pytest.mark.parametrize("folded", [False, True])
+def test_small_components_are_found(spark, folded):
+    """Each direction half as strong as the one before, down to rounding."""
+    rng = np.random.default_rng(7)
+    left, right = (np.linalg.qr(rng.standard_normal((n, 60)))[0] for n in (200, 60))
+    m = left * 0.5 ** np.arange(60) @ right.T
+    bag = triples(spark, m)
+    if folded:
+        table, whole = reduce.item_vectors(bag, 40), np.diag(m.sum(0)) @ m.T @ m
+        rows = {r["id"]: r["vec"] for r in table.collect()}
+        got = np.array([rows[f"c{j}"] for j in range(60)])
+    else:
+        got, whole = dense(reduce.truncated_svd(bag, 40), 200), m
+    u, s, _ = np.linalg.svd(whole)
+    assert np.allclose(np.linalg.norm(got, axis=0), s[:40], rtol=1e-2, atol=1e-14 * s[0])
+    clear = s[:40] > 1e-11 * s[0]
+    assert clear.sum() > (15 if folded else 35)
+    error = np.linalg.norm(np.abs(got) - np.abs(u[:, :40] * s[:40]), axis=0)
+    assert (error[clear] < 1e-2 * s[:40][clear]).all()
+
+
+def test_svd_of_nothing_and_of_low_rank(spark):
+    none = spark.createDataFrame([], "row_id long, col_id string, w double")
+    assert reduce.truncated_svd(none, 3).count() == 0
+    m = np.outer(np.arange(1.0, 9), np.arange(1.0, 6))
+    got = dense(reduce.truncated_svd(triples(spark, m), 4), 8)
+    assert np.allclose(got[:, 0], np.arange(1.0, 9) * np.sqrt(55)) and np.allclose(got[:, 1:], 0, atol=1e-9)
+
+
 def test_compress_and_pca(spark):
     rng = np.random.default_rng(6)
     m = rng.standard_normal((80, 10)) * np.array([9, 5, 3, 1, 1, 1, 1, 1, 1, 1.0]) + 2
