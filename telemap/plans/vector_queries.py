@@ -18,7 +18,7 @@ from telemap.operators import (
     transport,
     weights,
 )
-from telemap.plans import Registry, inputs, label_queries
+from telemap.plans import Registry, inputs
 from telemap.plans.label_queries import document_wbag, item_wbag
 from telemap.session import cut, scratch_path, spread
 from telemap.sources import read_source
@@ -242,10 +242,15 @@ def map_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(layout.map_vectors(embedding_vectors(spark, folder)))
 
 
+def vector_map(spark: SparkSession, folder: str) -> DataFrame:
+    """The library's own map of all vectors in all their dimensions."""
+    return cut(layout.map_vectors(embedding_vectors(spark, folder)))
+
+
 @query()
 def map_warm(spark: SparkSession, folder: str) -> DataFrame:
     """A cosine map started at another map."""
-    start = label_queries.plane(spark, folder).select("id", "x", "y")
+    start = vector_map(spark, folder)
     return _rounded(
         layout.map_vectors(embedding_vectors(spark, folder), start=start)
     )
@@ -254,13 +259,13 @@ def map_warm(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def density_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Most stable density clusters of map points."""
-    return cluster.density_clusters(label_queries.plane(spark, folder))
+    return cluster.density_clusters(vector_map(spark, folder))
 
 
 @query()
 def leaf_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Finest density clusters of map points."""
-    return cluster.density_clusters(label_queries.plane(spark, folder), select="leaf")
+    return cluster.density_clusters(vector_map(spark, folder), select="leaf")
 
 
 def _closed_bins_sql() -> str:

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from telemap.operators import cluster, layout, maps, neighbors
+from telemap.plans import all_queries
 
 
 def points_df(spark, xy):
@@ -84,6 +86,34 @@ def test_blobs_are_found_and_strays_are_noise(spark, select):
     assert sum(labels[i] == -1 for i in range(60, 65)) >= 4
 
 
+def test_unplaced_points_are_in_no_cluster(spark):
+    points = points_df(spark, blobs())
+    lost = spark.createDataFrame([(100, None, None), (101, None, None)], points.schema)
+    got = cluster.density_clusters(points.union(lost), 10, 12).collect()
+    assert sorted(got) == sorted(cluster.density_clusters(points, 10, 12).collect())
+    assert {r["id"] for r in got} == set(range(65))
+
+
+@pytest.mark.parametrize("name", ["density_clusters", "leaf_clusters", "map_warm"])
+def test_cluster_and_warm_queries_use_a_whole_map(spark, monkeypatch, name):
+    """All rows, all dimensions, by the library's layout."""
+    seen = []
+
+    def short(vectors, start=None):
+        seen.append((vectors, start))
+        return whole(vectors, epochs=1, start=start)
+
+    whole = layout.map_vectors
+    monkeypatch.setattr(layout, "map_vectors", short)
+    got = all_queries()[name](spark, SMALL)
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    assert got.count() == rows.count() == got.select("id").distinct().count()
+    vectors, start = seen[-1]
+    assert vectors.agg(F.min(F.size("vec"))).first()[0] == len(rows.first()["embedding"])
+    if name == "map_warm":
+        assert start.filter("x IS NOT NULL AND y IS NOT NULL").count() == rows.count()
+
+
 def test_components(spark):
     edges = spark.createDataFrame(
         [(1, 2), (2, 3), (3, 4), (4, 5), (7, 8), (8, 9), (20, 21)], "a long, b long"
