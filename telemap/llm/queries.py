@@ -258,3 +258,11 @@ def op2_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.size("removed_lines").cast("long").alias("n_removed"),
         F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed"),
     )
+
+
+@REGISTRY.query()
+def op12_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the groups in which two tokenizers agree."""
+    from telemap.llm.tokens import align_tokenizers
+
+    return align_tokenizers(table(spark, folder, "documents")).drop("ord", "th")

@@ -118,3 +118,53 @@ def repeated_lines(docs, percent=75):
         if any((j, m) < (i, n) and similar(own, other, percent) for _, j, m, other in lines):
             gone[k].add(n)
     return sorted(((i, count[k], sorted(gone[k])) for k, (i, _) in enumerate(docs)), key=str)
+
+
+def aligned_tokens(docs, folder):
+    """op12's rows, by one walk over both token lists of each text; with the groups of every row."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    first = Tokenizer.from_file(f"{folder}/byte_bpe_50k.json")
+    first.encode_special_tokens = True
+    second = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/piece_bpe_32k.model")
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = dict(zip(map(chr, shown), shown))
+    letter.update((chr(256 + k), b) for k, b in enumerate(b for b in range(256) if b not in shown))
+
+    def piece(i):
+        return bytes([int(second.id_to_piece(i)[3:-1], 16)]) if second.is_byte(i) else second.id_to_piece(i).replace("▁", " ").encode()
+
+    rows = []
+    for i, text in docs:
+        a = [(t, bytes(letter[c] for c in first.id_to_token(t))) for t in first.encode(" " + text, add_special_tokens=False).ids] if text else []
+        b = [(t, piece(t)) for t in second.encode(text)] if text else []
+        whole = (" " + (text or "")).encode()
+        if not text or b"".join(x for _, x in a) != whole or b"".join(x for _, x in b) != whole:
+            rows.append((i, [], [], []))
+            continue
+        groups, left, right, x, y, n, m = [], [], [], 0, 0, 0, 0
+        while x < len(a) or y < len(b):
+            if n <= m:
+                left.append(a[x][0])
+                n, x = n + len(a[x][1]), x + 1
+            else:
+                right.append(b[y][0])
+                m, y = m + len(b[y][1]), y + 1
+            if n == m:
+                groups.append((left, right))
+                left, right = [], []
+        rows.append((i, a, b, groups))
+    count = Counter((g[0][-1], g[1][-1]) for *_, groups in rows for g in groups)
+    most = defaultdict(int)
+    for (_, right), c in count.items():
+        most[right] = max(most[right], c)
+    out = []
+    for i, a, b, groups in rows:
+        links = [(g[0][-1], g[1][-1]) for g in groups]
+        said = ";".join(",".join(map(str, g[0])) + "|" + ",".join(map(str, g[1])) for g in groups)
+        out.append(
+            (i, len(a), len(b), len(groups), len(links), sum(count[p] == most[p[1]] for p in links), sum(count[p] for p in links))
+            + (hashlib.sha256(said.encode()).hexdigest() if groups else "", groups)
+        )
+    return out
