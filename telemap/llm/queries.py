@@ -296,3 +296,32 @@ def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = table(spark, folder, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
     return mine_negatives(rows, F.expr("vec_id % 100 = 0"))
+
+
+@REGISTRY.query(
+    """
+WITH word AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+own AS (
+  SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1),
+                                                        lambda i: md5(array_to_string(w[i:i + 3], ' '))))) AS s FROM word),
+sets AS (SELECT min(doc_id) AS c, s, len(s) AS n FROM own WHERE len(s) > 0 GROUP BY s),
+item AS (SELECT c, n, unnest(s) AS x FROM sets),
+link AS (
+  SELECT a.c AS a, b.c AS b FROM item a JOIN item b ON a.x = b.x AND a.c <> b.c
+  WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+walk AS (
+  WITH RECURSIVE step(c, r) AS (
+    SELECT c, c FROM sets UNION SELECT s.c, l.b FROM step s JOIN link l ON l.a = s.r)
+  SELECT c, min(r) AS component FROM step GROUP BY c)
+SELECT o.doc_id, CAST(len(o.s) AS BIGINT) AS n_shingles, coalesce(w.component, o.doc_id) AS component_id
+FROM own o LEFT JOIN sets USING (s) LEFT JOIN walk w ON w.c = sets.c
+"""
+)
+def op11_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the smallest id that links of n-gram similarity reach."""
+    from telemap.llm.ngrams import ngram_groups
+
+    return ngram_groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")

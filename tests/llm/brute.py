@@ -45,9 +45,9 @@ def substrings(docs, window=50):
     return sorted(out, key=str)
 
 
-def shingles(text):
+def shingles(text, size=5):
     w = folded(text)
-    return frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1))))
+    return frozenset(tuple(w[k : k + size]) for k in range(max(len(w) - size + 1, min(len(w), 1))))
 
 
 def similar(a, b, percent=75):
@@ -55,9 +55,9 @@ def similar(a, b, percent=75):
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, size=5, percent=75):
     """(id, set size, smallest id of the component) of every row."""
-    sets = [shingles(text) for _, text in docs]
+    sets = [shingles(text, size) for _, text in docs]
     parent = list(range(len(docs)))
 
     def root(x):
@@ -67,7 +67,7 @@ def near_duplicates(docs):
 
     for a in range(len(docs)):
         for b in range(a):
-            if sets[a] and sets[b] and root(a) != root(b) and similar(sets[a], sets[b]):
+            if sets[a] and sets[b] and root(a) != root(b) and similar(sets[a], sets[b], percent):
                 parent[root(a)] = root(b)
     ids = defaultdict(list)
     for k, (i, _) in enumerate(docs):
