@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: tables written by ``cut`` inside each running ``settled``, innermost last
+_WRITTEN: list[list[DataFrame]] = []
+
 
 def session(app: str = "telemap", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for.
@@ -24,6 +28,8 @@ def session(app: str = "telemap", master: str | None = None, **conf: str) -> Spa
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.parquet.compression.codec", "zstd")
+        # written tables are compressed; a plan must not take their files' size for that of their rows
+        .config("spark.sql.sources.fileCompressionFactor", "4.0")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
@@ -70,6 +76,27 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._cut_path = path
+    if _WRITTEN:
+        _WRITTEN[-1].append(table)
+    return table
+
+
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """Write what ``build`` returns and delete the tables that ``cut`` wrote on the way.
+
+    An operator that leaves only its result behind costs no disk while later ones run.
+    """
+    _WRITTEN.append([])
+    try:
+        result = build()
+    except BaseException:
+        _WRITTEN.pop()
+        raise
+    tables = _WRITTEN.pop()
+    table = cut(result)
+    forget(*(t for t in tables if t is not result))
+    if getattr(result, "_cut_path", None):
+        forget(result)
     return table
 
 
