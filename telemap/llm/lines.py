@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemap.llm.rows import in_ranges, keyed, prefix_sums, send
 from telemap.llm.words import FOLDED, mix, slices, words
-from telemap.session import cut, forget
+from telemap.session import cut, forget, settled
 
 #: lines are copies when 100 * common >= PERCENT * all words of both
 PERCENT = 75
@@ -61,7 +61,22 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return out
 
 
-SCANNED = "doc_id long, ord long, th long, lines array<struct<line:int,s:long,n:int,prefix:array<long>>>"
+def parities(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each set, bit i set where an odd number of its words have i as their top bits.
+
+    Sets that differ in k words differ in at most k of these bits.
+    """
+    place = hashes >> np.uint64(57)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    out = []
+    for lane in (0, 1):
+        mine = np.where((place >> np.uint64(6)) == np.uint64(lane), bit, np.uint64(0))
+        run = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(mine)))
+        out.append((run[begin[1:]] ^ run[begin[:-1]]).view(np.int64))
+    return out[0], out[1]
+
+
+SCANNED = "doc_id long, ord long, th long, lines array<struct<line:int,s:long,n:int,low:long,high:long,prefix:array<long>>>"
 
 
 def scan(docs: DataFrame, often: np.ndarray) -> DataFrame:
@@ -71,7 +86,9 @@ def scan(docs: DataFrame, often: np.ndarray) -> DataFrame:
     only the first by id, line and text hash has its words, in whatever order rows are read.
     """
     sent = send(docs.sparkSession, often)
-    kind = pa.list_(pa.struct({"line": pa.int32(), "s": pa.int64(), "n": pa.int32(), "prefix": pa.list_(pa.int64())}))
+    kind = pa.list_(
+        pa.struct({"line": pa.int32(), "s": pa.int64(), "n": pa.int32(), "low": pa.int64(), "high": pa.int64(), "prefix": pa.list_(pa.int64())})
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = sent()
@@ -98,8 +115,10 @@ def scan(docs: DataFrame, often: np.ndarray) -> DataFrame:
             rest = hashes[order][keep].view(np.int64)
             many = np.bincount(owner[keep], minlength=len(n))[used]
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), pa.array(rest))
+            low, high = parities(hashes, begin)
             entries = pa.StructArray.from_arrays(
-                [pa.array(number.astype(np.int32)), pa.array(sets[used].view(np.int64)), pa.array(n[used].astype(np.int32)), prefix],
+                [pa.array(number.astype(np.int32)), pa.array(sets[used].view(np.int64)), pa.array(n[used].astype(np.int32))]
+                + [pa.array(low[used]), pa.array(high[used]), prefix],
                 fields=list(kind.value_type),
             )
             yield pa.RecordBatch.from_pydict(
@@ -150,43 +169,61 @@ def _copies(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("late", "early", "a", "b").mapInArrow(run, "late long, early long")
 
 
+#: of sets that first share a word at places pos and at, and differ in the bits that low and high count
+FITS = (
+    f"100 * least(n, n_) >= {PERCENT} * greatest(n, n_) AND "
+    f"{100 + PERCENT} * least(n - pos, n_ - pos_) >= {PERCENT} * (n + n_) AND "
+    f"{100 + PERCENT} * (bit_count(low ^ low_) + bit_count(high ^ high_)) <= {100 - PERCENT} * (n + n_)"
+)
+ENTRY = ("cid", "n", "pos", "low", "high")
+#: leaders are asked for again while a round settles at least this share of the open sets
+WORTH = 0.02
+
+
 def _resolve(rows: DataFrame, entries: DataFrame, classes: DataFrame) -> DataFrame:
     """``cid`` of every set that is a copy of an earlier one.
 
-    ``entries`` (token, cid, n, pos) is the prefix index. In each of its lists the sets
-    are compared with the earliest one, then those without a match so far with the next
-    two, four, ... until each has met all earlier ones that pass the filters. A group of
-    copies is settled by its earliest member, in a line for each set.
+    ``entries`` (token, cid, n, pos, low, high) is the prefix index. In each of its lists
+    the sets are compared with the earliest one, and those that are left with the earliest
+    of them, as long as that settles many: a group of copies costs a line for each set.
+    What is still open then meets all earlier sets of its lists that the filters leave.
     """
-    lists = entries.groupBy("token").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).filter("lead < last")
-    entries = cut(entries.join(cut(lists.select("token")), "token"))
-    candidates = entries.select("cid").distinct()
-    wanted = classes.join(candidates, "cid", "left_semi").groupBy("ord", "th")
-    sets = cut(_sets_of(rows, wanted.agg(F.collect_list(F.struct("line", "cid")).alias("places"))))
-    order = Window.partitionBy("token").orderBy("cid")
-    ranked = cut(entries.withColumn("rank", F.row_number().over(order) - 1))
-    forget(entries)
-    # a first shared word at these places leaves room for enough further ones
-    fits = F.expr(
-        f"100 * least(n, m) >= {PERCENT} * greatest(n, m) AND "
-        f"{100 + PERCENT} * (1 + least(n - pos, m - at) - 1) >= {PERCENT} * (n + m)"
-    )
-    open_, tested, done, low, high = ranked, None, None, 0, 0
-    while True:
-        lead = ranked.filter(F.col("rank").between(low, high)).select(
-            "token", F.col("cid").alias("early"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("rank").alias("place")
-        )
-        pairs = open_.join(lead, "token").filter("rank > place").filter(fits).select(F.col("cid").alias("late"), "early").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["late", "early"], "left_anti")
+    reach = F.expr(f"{100 + PERCENT} * (n - pos) div {PERCENT} - n")
+    sized = entries.withColumn("reach", reach)
+    lists = sized.groupBy("token").agg(F.count("*").alias("many"), F.min("n").alias("least"), F.max("reach").alias("most"))
+    lists = cut(lists.filter("many > 1").drop("many"))
+    kept = sized.join(lists, "token").filter("reach >= least AND n <= most").select("token", *ENTRY)
+    index = cut(kept)
+    forget(lists)
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("late").alias("cid")).union(pairs.select("early")).distinct()
+        wanted = classes.join(asked, "cid", "left_semi").groupBy("ord", "th")
+        return _sets_of(rows, wanted.agg(F.collect_list(F.struct("line", "cid")).alias("places")))
+
+    def settle(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
+        sets = cut(sets_of(pairs))
         found = cut(_copies(pairs, sets).select(F.col("late").alias("cid")).distinct())
+        forget(sets, pairs)
+        return found
+
+    open_, done = index, None
+    while True:
+        lead = open_.groupBy("token").agg(F.min(F.struct(*ENTRY)).alias("l"), F.count("*").alias("many")).filter("many > 1")
+        lead = lead.select("token", *[F.col(f"l.{c}").alias(f"{c}_") for c in ENTRY])
+        met = open_.join(lead, "token").filter("cid <> cid_").filter(FITS)
+        found = settle(met.select(F.col("cid").alias("late"), F.col("cid_").alias("early")).distinct())
         done = found if done is None else cut(done.union(found))
-        tested = pairs if tested is None else cut(tested.union(pairs))
-        low, high = high + 1, 2 * high + 2
-        open_ = cut(open_.filter(F.col("rank") > low).join(found, "cid", "left_anti"))
-        if not open_.limit(1).count():
-            return done
+        n, all_ = found.count(), open_.select("cid").distinct().count()
+        last, open_ = open_, cut(open_.join(found, "cid", "left_anti"))
+        if last is not index:
+            forget(last)
+        if n <= WORTH * all_:
+            break
+    early = index.select("token", *[F.col(c).alias(f"{c}_") for c in ENTRY])
+    met = open_.join(early, "token").filter("cid_ < cid").filter(FITS)
+    return cut(done.union(settle(met.select(F.col("cid").alias("late"), F.col("cid_").alias("early")).distinct())))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,9 +235,13 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ``PERCENT`` per cent; lines are judged on the input. ``removed_lines`` has their
     numbers in the text, from 0. Rows without an id come last, rows that share an id do
     not affect each other at equal places. Null and empty texts have no lines. Sets
-    are told apart by 64-bit hashes and compared by the hashes of their words.
+    are told apart by 64-bit hashes and compared by the hashes of their words. Other
+    columns of ``docs`` are ignored; an empty table gives no rows.
     """
-    rows = keyed(docs, key, text)
+    return settled(lambda: _repeated_lines(keyed(docs, key, text)))
+
+
+def _repeated_lines(rows: DataFrame) -> DataFrame:
     scanned = cut(scan(rows, rarity(rows)))
     lines = scanned.select("ord", "th", F.explode("lines").alias("l")).select("ord", "th", "l.*")
     firsts = lines.groupBy("s").agg(F.min(F.struct("ord", "line", "th")).alias("f")).select("s", "f.*")
@@ -209,7 +250,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     first = classes.select("s", "ord", "line", "th", "cid")
     # a slice gives a set's words at its first place there, so the first place of all always has them
     chosen = lines.filter(F.size("prefix") > 0).join(first, ["s", "ord", "line", "th"]).dropDuplicates(["s", "ord", "line", "th"])
-    entries = chosen.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
+    entries = chosen.select("cid", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
     late = _resolve(rows, entries, classes)
     # every occurrence but the first goes, and the first where an earlier set is similar
     marked = cut(
@@ -230,7 +271,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def without_lines(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text``: the documents without the lines that ``repeated_lines`` found in them."""
+    """``doc_id, text``: the documents without the lines that ``repeated_lines`` found in them; a null text stays null."""
     gone = found.select("ord", "th", "removed_lines").distinct()
     left = "array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(removed_lines, i)), '\\n')"
     return keyed(docs, key, text).join(gone, ["ord", "th"], "left").select("doc_id", F.expr(left).alias("text"))

@@ -14,12 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telemap.llm.ngrams import in_components
+from telemap.llm.prefixes import apart, common, full_sets, links, rarest_first, shingle_sets
 from telemap.llm.rows import components, keyed
-from telemap.llm.words import FOLDED, Runs, mix, shingle_starts, slices, words
-from telemap.session import cut, forget
+from telemap.llm.words import mix, slices
+from telemap.session import cut, settled
 
 SHINGLE = 5
 #: links need 100 * common >= PERCENT * all shingles
@@ -89,17 +91,6 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.
     return grid[np.arange(len(grid)), total.argmax(axis=1)]
 
 
-def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, end to end, and where each set starts."""
-    found = words(column, FOLDED)
-    start, length, counts = shingle_starts(found, SHINGLE)
-    hashes = Runs(found.hashes).of(start, length) if len(start) else np.zeros(0, np.uint64)
-    ends = np.concatenate(([0], np.cumsum(counts)))
-    sets = [np.unique(hashes[ends[i] : ends[i + 1]]) for i in range(len(counts))]
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.concatenate(([0], np.cumsum(sizes)))
-
-
 SKETCH = "rid long, doc_id long, ord long, th long, n_shingles long, s1 long, s2 long, bands array<long>, levels binary"
 
 
@@ -109,7 +100,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text"):
-            hashes, ends = shingle_sets(batch.column("text"))
+            hashes, ends = shingle_sets(batch.column("text"), SHINGLE)
             sizes = np.diff(ends)
             full = sizes > 0
             levels = registers(hashes, ends[:-1][full]) if full.any() else np.zeros((0, REGISTERS), np.uint16)
@@ -140,31 +131,6 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "ord", "th", "text").mapInArrow(sketch, SKETCH)
 
 
-def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, n, levels, shingles`` (packed, sorted) of the candidates."""
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies of a row meet in one task; one of them is enough
-        for batch in slices(batches, "text"):
-            node = batch.column("node").to_pylist()
-            new = [i for i, x in enumerate(node) if x not in seen and not seen.add(x)]
-            batch = batch.take(pa.array(new, pa.int64()))
-            hashes, ends = shingle_sets(batch.column("text"))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "node": batch.column("node"),
-                    "n": pa.array(np.diff(ends)),
-                    "levels": batch.column("levels"),
-                    "shingles": pa.array(
-                        [hashes[ends[i] : ends[i + 1]].tobytes() for i in range(len(ends) - 1)], pa.binary()
-                    ),
-                }
-            )
-
-    joined = docs.select("ord", "th", "text").join(nodes, ["ord", "th"])
-    return joined.select("node", "levels", "text").mapInArrow(gather, "node long, n long, levels binary, shingles binary")
-
-
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar enough, by estimate and then by full sets."""
 
@@ -180,12 +146,8 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             likely = joint_estimate(la, lb, na.astype(float), nb.astype(float)) >= PERCENT / 100 - MARGIN
             keep = []
             for i in np.flatnonzero(likely).tolist():
-                x = np.frombuffer(batch.column("xa")[i].as_py(), dtype=np.uint64)
-                y = np.frombuffer(batch.column("xb")[i].as_py(), dtype=np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                if 100 * common >= PERCENT * (len(x) + len(y) - common):
+                n, m, both = common(batch.column("xa")[i].as_py(), batch.column("xb")[i].as_py())
+                if 100 * both >= PERCENT * (n + m - both):
                     keep.append(i)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a[keep], pa.int64()), "b": pa.array(b[keep], pa.int64())})
 
@@ -198,93 +160,40 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "na", "nb", "la", "lb", "xa", "xb").mapInArrow(verify, "a long, b long")
 
 
-DIFFERENCE = "g long, node long, lead long, n int, common int, linked boolean, novel array<long>"
-
-
-def _against_lead(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """What each node shares with the ``lead`` of its group ``g``, and its shingles that the lead lacks."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, common, linked, novel = [], [], [], []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-                both = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-                n.append(len(x))
-                common.append(int(both.sum()))
-                linked.append(100 * common[-1] >= PERCENT * (len(x) + len(y) - common[-1]))
-                novel.append(x[~both].view(np.int64))
-            yield pa.RecordBatch.from_pydict(
-                {c: batch.column(c) for c in ("g", "node", "lead")}
-                | {
-                    "n": pa.array(n, pa.int32()),
-                    "common": pa.array(common, pa.int32()),
-                    "linked": pa.array(linked, pa.bool_()),
-                    "novel": pa.array(novel, pa.list_(pa.int64())),
-                }
-            )
-
-    own = sets.select("node", F.col("shingles").alias("a"))
-    full = pairs.join(own, "node").join(own.select(F.col("node").alias("lead"), F.col("a").alias("b")), "lead")
-    return full.select("g", "node", "lead", "a", "b").mapInArrow(compare, DIFFERENCE)
-
-
-def _beyond_leaders(
-    entries: DataFrame, labels: DataFrame, edges: DataFrame, sets: DataFrame, tested: DataFrame
-) -> DataFrame:
-    """All links needed inside bands that still hold more than one component; ``edges`` if there is no such band.
+def _led(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: links of nodes with the leaders of their bands.
 
-    Nodes that such bands connect form a group, and its smallest set is the lead. Let x
-    be similar to y but not to the lead l. Did they share nothing outside l, then |x & y|
-    <= |x & l|, and as |l| <= |y| x would be similar to l. So they share shingles outside
-    l: at least the common ones that similarity asks for less those that x shares with
-    l. These novel shingles are joined by a prefix filter: each node enters its rarest
-    ones in the group, so many that two similar nodes must meet in one.
+    Every node meets the one leader first that it shares most bands with; other leaders
+    only where they are still in another component. So about one edge for each node
+    goes into the components, however many bands it has.
     """
-    unsettled = entries.join(labels, "node", "left").select("band", "node", "leader", F.coalesce("component", "node").alias("c"))
-    apart = unsettled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("band")
-    near = cut(unsettled.join(cut(apart), "band", "left_semi").filter("node <> leader").select("node", "leader"))
-    if not near.limit(1).count():
+    met = entries.filter("node <> leader").groupBy("node", "leader", "n").agg(F.count("*").alias("bands"))
+    met = met.join(sets.select(F.col("node").alias("leader"), F.col("n").alias("m")), "leader")
+    near = cut(met.filter(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)").select("node", "leader", "bands"))
+    best = near.groupBy("node").agg(F.max_by("leader", F.struct("bands", "leader")).alias("leader"))
+    edges = cut(_linked(cut(best.select(F.col("node").alias("a"), F.col("leader").alias("b"))), sets))
+    others = near.select(F.col("node").alias("a"), F.col("leader").alias("b")).join(best.withColumnRenamed("node", "a"), "a")
+    others = others.filter("b <> leader").select("a", "b")
+    more = _linked(cut(apart(others, components(edges))), sets)
+    return cut(edges.union(more))
+
+
+def _beyond_leaders(entries: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that connect all that is similar inside bands that still hold more than one component.
+
+    The nodes of such bands are joined by prefixes that begin with the shingles that the
+    fewest of them hold: what a copy has changed comes first there, and places in the
+    prefixes rule out nearly all pairs of a family that are not similar.
+    """
+    unsettled = entries.join(components(edges), "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
+    unsettled = cut(unsettled)
+    open_ = unsettled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("band")
+    nodes = cut(unsettled.join(cut(open_), "band", "left_semi").select("node").distinct())
+    if not nodes.limit(1).count():
         return edges
-    groups = components(near, "node", "leader").withColumnRenamed("component", "g")
-    sized = groups.join(sets.select("node", "n"), "node")
-    leads = sized.groupBy("g").agg(F.min(F.struct("n", "node"))["node"].alias("lead"))
-    pairs = groups.join(cut(leads), "g").filter("node <> lead").select("g", "node", "lead")
-    diffs = cut(_against_lead(pairs, sets))
-    edges = cut(edges.union(diffs.filter("linked").select("node", "lead")))
-    labels = components(edges)
-    # a group that is one component by now is settled
-    split = groups.join(labels, "node", "left").select("g", F.coalesce("component", "node").alias("c"), "node")
-    open_ = split.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("g")
-    split = cut(split.join(cut(open_), "g", "left_semi"))
-    diffs = diffs.join(split, ["g", "node"])
-    novel = diffs.select("g", "node", F.explode("novel").alias("e"))
-    held = cut(novel.groupBy("g", "e").agg(F.count("*").alias("many")).filter("many > 1"))
-    own = Window.partitionBy("g", "node")
-    shared = (
-        novel.join(held, ["g", "e"])
-        .withColumn("rank", F.row_number().over(own.orderBy("many", "e")))
-        .withColumn("met", F.count("*").over(own))
-    )
-    need = F.greatest(F.lit(1), F.ceil(F.col("n") * PERCENT / 100) - F.col("common"))
-    entered = cut(
-        shared.join(diffs.select("g", "node", "c", "n", "common", "linked"), ["g", "node"])
-        .filter(F.col("rank") <= F.col("met") - need + 1)
-        .select("g", "e", "node", "c", "n", "common", "linked", (F.col("met") - F.col("rank") + 1).alias("left"))
-    )
-    # at the first shingle that two nodes share, each has ``left`` ones that others hold, this one included
-    other = entered.select("g", "e", *[F.col(c).alias(f"{c}_2") for c in ("node", "c", "n", "common", "linked", "left")])
-    rest = f"ceil({PERCENT} * (n + n_2) / {100 + PERCENT}) - least(common, common_2)"
-    found = (
-        entered.filter("NOT linked")
-        .join(other, ["g", "e"])
-        .filter("c <> c_2 AND (linked_2 OR node > node_2)")
-        .filter(f"100 * least(n, n_2) >= {PERCENT} * greatest(n, n_2) AND least(left, left_2) >= {rest}")
-        .select(F.col("node").alias("a"), F.col("node_2").alias("b"))
-        .distinct()
-    )
-    fresh = found.join(tested, ["a", "b"], "left_anti")
-    return cut(edges.union(_linked(cut(fresh), sets)))
+    index = cut(rarest_first(sets, nodes, PERCENT))
+    members = nodes.select(F.col("node").alias("group"), "node")
+    return links(index, members, PERCENT, lambda pairs: _linked(pairs, sets), edges)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,58 +202,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     A document's set holds its distinct five-word shingles (A-Z lowered); one of fewer
     words is a single shingle, one without words or text has an empty set and is linked
     with nothing. Documents of equal sets are one node. The nodes of a band are compared
-    with its smallest set; where bands then still hold more than one component, the
-    nodes they connect are compared by the shingles that their smallest set lacks. Both
-    take a line for each member of a group, whatever its size, and leave out no link
-    between nodes of a band. ``component_id`` is the smallest id reachable; ids may repeat or be null, the
-    rows are then told apart by ``rid``, and a component of null ids has id null.
+    with the one of them that shares most bands; where bands then still hold more than one component, their
+    nodes are joined by prefixes. No link between nodes of a band is left out.
+    ``component_id`` is the smallest id reachable; ids may repeat or be null, the rows are
+    then told apart by ``rid``, and a component of null ids has id null. Other columns of
+    ``docs`` are ignored; an empty table gives no rows.
     """
-    rows = keyed(docs, key, text)
+    return settled(lambda: _near_duplicates(keyed(docs, key, text)))
+
+
+def _near_duplicates(rows: DataFrame) -> DataFrame:
     sketched = cut(sketches(rows))
     filled = sketched.filter("n_shingles > 0")
     classes = cut(filled.groupBy("s1", "s2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first")))
 
     nodes = filled.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi")
     entries = nodes.select(F.explode("bands").alias("band"), F.col("rid").alias("node"), F.col("n_shingles").alias("n"))
-    shared = cut(
-        entries.groupBy("band")
-        .agg(F.min(F.struct("n", "node"))["node"].alias("leader"), F.min("node").alias("low"), F.max("node").alias("high"))
-        .filter("low < high")
-        .select("band", "leader")
-    )
-    entries = cut(entries.join(shared, "band"))
-    near_size = F.expr(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
+    shared = entries.groupBy("band").agg(F.count("*").alias("many")).filter("many > 1").select("band")
+    met = cut(entries.join(cut(shared), "band", "left_semi"))
+    # what most bands of a family have in common is the text that its members were made from
+    often = met.groupBy("node").agg(F.count("*").alias("bands"))
+    lead = met.join(often, "node").groupBy("band").agg(F.max(F.struct("bands", (-F.col("node")).alias("last")))["last"].alias("last"))
+    entries = cut(met.join(lead.select("band", (-F.col("last")).alias("leader")), "band"))
     known = entries.select("node").distinct()
     wanted = filled.select(F.col("rid").alias("node"), "ord", "th", "levels").join(known, "node", "left_semi")
-    sets = cut(_full_sets(rows, wanted))
-
-    sizes = sets.select(F.col("node").alias("leader"), F.col("n").alias("m"))
-    tested = cut(
-        entries.filter("node <> leader")
-        .select(F.col("node").alias("a"), F.col("leader"), "n")
-        .distinct()
-        .join(sizes, "leader")
-        .filter(near_size)
-        .select("a", F.col("leader").alias("b"))
-    )
-    edges = cut(_linked(tested, sets))
-    labels = components(_beyond_leaders(entries, components(edges), edges, sets, tested))
-    forget(sets, entries, shared)
-
-    named = labels.join(classes.select("node", "first"), "node")
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    grouped = named.join(smallest, "component").select("node", "component", F.col("component_id"))
-    full = cut(
-        classes.join(grouped, "node", "left").select(
-            "s1", "s2", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")
-        )
-    )
-    out = ["doc_id", "ord", "th", "rid", "n_shingles"]
-    return (
-        filled.select(*out, "s1", "s2")
-        .join(full, ["s1", "s2"])
-        .select(*out, "component", "component_id")
-        .unionByName(
-            sketched.filter("n_shingles = 0").select(*out, F.col("rid").alias("component"), F.col("doc_id").alias("component_id"))
-        )
-    )
+    sets = cut(full_sets(rows, wanted, SHINGLE, "levels"))
+    edges = _beyond_leaders(entries, _led(entries, sets), sets)
+    return in_components(sketched, classes, components(edges))

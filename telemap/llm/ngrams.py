@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from telemap.llm.prefixes import full_sets, links, prefix_length, shingle_sets, similar_pairs
 from telemap.llm.rows import components, keyed, send
 from telemap.llm.words import mix, slices
-from telemap.session import cut, forget
+from telemap.session import cut, settled
 
 SHINGLE = 4
 #: links need 100 * common >= PERCENT * all shingles
@@ -108,7 +108,10 @@ def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     null. Equal sets are one node; sets are told apart by 128 bits. Other columns of
     ``docs`` are ignored; an empty table gives no rows.
     """
-    rows = keyed(docs, key, text)
+    return settled(lambda: _ngram_groups(keyed(docs, key, text)))
+
+
+def _ngram_groups(rows: DataFrame) -> DataFrame:
     scanned = cut(scan(rows, occurrences(rows)))
     filled = scanned.filter("n_shingles > 0")
     classes = cut(filled.groupBy("s1", "s2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first")))
@@ -128,7 +131,6 @@ def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     sets = cut(full_sets(rows, used.select("node", "ord", "th"), SHINGLE))
     edges = links(entries, used.select("group", "node"), PERCENT, lambda pairs: similar_pairs(pairs, sets, PERCENT))
     labels = components(edges)
-    forget(sets, entries, members, used)
     return in_components(scanned, classes, labels)
 
 

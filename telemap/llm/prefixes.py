@@ -146,7 +146,7 @@ def links(
     inside = members.join(heads, "group").filter("node <> head")
     pairs = across.select(F.col("node").alias("a"), F.col("head").alias("b")).union(inside.select("node", "head"))
     if known is not None:
-        pairs = _apart(pairs, components(known))
+        pairs = apart(pairs, components(known))
     tested = cut(pairs)
     edges = cut(verify(tested) if known is None else verify(tested).union(known))
 
@@ -178,7 +178,7 @@ def links(
     return cut(edges.union(more))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) whose nodes are in different components."""
     of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
