@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemap.llm.ngrams import in_components
-from telemap.llm.prefixes import apart, common, full_sets, links, rarest_first, shingle_sets
+from telemap.llm.prefixes import apart, common, full_sets, links, pruned, rarest_first, shingle_sets
 from telemap.llm.rows import components, keyed
 from telemap.llm.words import mix, slices
 from telemap.session import cut, settled
@@ -191,7 +191,7 @@ def _beyond_leaders(entries: DataFrame, edges: DataFrame, sets: DataFrame) -> Da
     nodes = cut(unsettled.join(cut(open_), "band", "left_semi").select("node").distinct())
     if not nodes.limit(1).count():
         return edges
-    index = cut(rarest_first(sets, nodes, PERCENT))
+    index = pruned(rarest_first(sets, nodes, PERCENT), PERCENT)
     members = nodes.select(F.col("node").alias("group"), "node")
     return links(index, members, PERCENT, lambda pairs: _linked(pairs, sets), edges)
 

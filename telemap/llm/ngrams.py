@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemap.llm.prefixes import full_sets, links, prefix_length, shingle_sets, similar_pairs
+from telemap.llm.prefixes import full_sets, links, prefix_length, pruned, shingle_sets, similar_pairs
 from telemap.llm.rows import components, keyed, send
 from telemap.llm.words import mix, slices
 from telemap.session import cut, settled
@@ -122,8 +122,8 @@ def _ngram_groups(rows: DataFrame) -> DataFrame:
         nodes.join(groups.select(F.col("group").alias("rid")), "rid", "left_semi")
         .select(F.col("rid").alias("group"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     )
-    held = index.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
-    entries = cut(index.join(cut(held), "token", "left_semi"))
+    held = cut(index.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token"))
+    entries = pruned(index.join(held, "token", "left_semi"), PERCENT)
     # members of a group and of groups that share a list can have links
     several = members.groupBy("group").agg(F.count("*").alias("many")).filter("many > 1").select("group")
     wanted = entries.select("group").union(several).distinct()

@@ -113,8 +113,18 @@ def _fits(percent: int) -> str:
     )
 
 
+def pruned(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries that can still find a partner in their list, by the sizes that are in it.
+
+    Twice, since what the first pass takes out may have been another's only partner.
+    """
+    first = cut(_pruned(entries, percent))
+    out = cut(_pruned(first, percent))
+    forget(first)
+    return out
+
+
 def _pruned(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries that can still find a partner in their list, by the sizes that are in it."""
     reach = F.expr(f"{100 + percent} * (n - pos) div {percent} - n")  # the largest partner that the place leaves
     sized = entries.withColumn("reach", reach).filter(f"100 * reach >= {percent} * n")
     lists = sized.groupBy("token").agg(F.count("*").alias("many"), F.min("n").alias("least"), F.max("reach").alias("most"))
@@ -123,7 +133,7 @@ def _pruned(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def links(
-    entries: DataFrame,
+    index: DataFrame,
     members: DataFrame,
     percent: int,
     verify: Callable[[DataFrame], DataFrame],
@@ -131,13 +141,10 @@ def links(
 ) -> DataFrame:
     """``a, b``: links of nodes that connect all that are similar; ``known`` links come with them.
 
-    ``entries`` (token, group, n, pos) is the prefix index of groups of nodes that agree in
-    size and prefix, ``members`` (group, node) says who they are. ``verify`` keeps the
+    ``index`` (token, group, n, pos), ``pruned``, is the prefix index of groups of nodes that
+    agree in size and prefix, ``members`` (group, node) says who they are. ``verify`` keeps the
     pairs (a, b) of nodes that are similar.
     """
-    first = cut(_pruned(entries, percent))
-    index = cut(_pruned(first, percent))
-    forget(first)
     heads = cut(members.groupBy("group").agg(F.min("node").alias("head")))
     lead = index.groupBy("token").agg(F.min(F.struct("pos", "group", "n")).alias("l"))
     lead = lead.select("token", F.col("l.pos").alias("at"), F.col("l.group").alias("lead"), F.col("l.n").alias("m"))
