@@ -33,6 +33,9 @@ SLICE_CELLS = 4_000_000
 MAX_PIVOTS = 512
 SIGNATURE = 32
 CHUNK_PRODUCTS = 8_000_000
+# Columns of a block that are multiplied as a dense matrix: at most so many, and worth it.
+DENSE_COLUMNS = 512
+DENSE_GAIN = 128
 
 # Distances are compared at the precision that their arithmetic has, so that the order
 # of a sum decides nothing; ties go to the smaller id.
@@ -76,15 +79,42 @@ class _Rows:
 
 
 class _Postings:
-    """Entries of a block sorted by column, for products with other rows."""
+    """Entries of a block for products with other rows: frequent columns dense, the rest sorted.
+
+    A column in c of n rows costs about c * c / n sums for each row of another such
+    block, or n multiplications of a matrix product, which are far cheaper one by one.
+    """
 
     def __init__(self, block: _Rows):
         order = np.argsort(block.idx, kind="stable")
-        self.idx, self.row, self.val = block.idx[order], block.row[order], block.val[order]
+        idx, row, val = block.idx[order], block.row[order], block.val[order]
         self.n = block.n
+        first = np.flatnonzero(np.diff(idx, prepend=idx[:1] - 1)) if len(idx) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(idx)))
+        often = np.flatnonzero(count * count >= DENSE_GAIN * self.n)
+        often = np.sort(often[np.argsort(-count[often], kind="stable")][:DENSE_COLUMNS])
+        self.heavy, self.dense = idx[first[often]], None
+        if len(often):
+            dense = np.isin(np.repeat(np.arange(len(count)), count), often)
+            self.dense = np.zeros((self.n, len(often)))
+            self.dense[row[dense], np.searchsorted(self.heavy, idx[dense])] = val[dense]
+            idx, row, val = idx[~dense], row[~dense], val[~dense]
+        self.idx, self.row, self.val = idx, row, val
+
+    def dense_products(self, a: _Rows, start: int, stop: int) -> np.ndarray | None:
+        """The part of the products that frequent columns make."""
+        if self.dense is None:
+            return None
+        part = slice(a.ptr[start], a.ptr[stop])
+        idx = a.idx[part]
+        at = np.minimum(np.searchsorted(self.heavy, idx), len(self.heavy) - 1)
+        hit = self.heavy[at] == idx
+        own = np.zeros((stop - start, len(self.heavy)))
+        own[a.row[part][hit] - start, at[hit]] = a.val[part][hit]
+        return (own @ self.dense.T).ravel()
 
     def products(self, a: _Rows, start: int, stop: int):
-        """Where each entry of the rows ``start..stop`` of ``a`` meets entries here."""
+        """Where each entry of the rows ``start..stop`` of ``a`` meets sorted entries here."""
         part = slice(a.ptr[start], a.ptr[stop])
         idx = a.idx[part]
         lo = np.searchsorted(self.idx, idx, "left")
@@ -120,7 +150,8 @@ def _slices(kind: str, a: _Rows, b: _Rows):
             continue
         row, val, lo, count = postings.products(a, start, stop)
         cells, total = (stop - start) * b.n, int(count.sum())
-        if total * 8 < cells:
+        dots = postings.dense_products(a, start, stop)
+        if dots is None and total * 8 < cells:
             codes, sums = [np.empty(0, np.int64)], [np.empty(0)]
             for code, product in postings.chunks(row, val, lo, count):
                 codes.append(code)
@@ -129,7 +160,7 @@ def _slices(kind: str, a: _Rows, b: _Rows):
             dots = np.bincount(inverse, np.concatenate(sums), minlength=len(code))
             yield start, None, (code // b.n + start, code % b.n, _hellinger(dots))
         else:
-            dots = np.zeros(cells)
+            dots = np.zeros(cells) if dots is None else dots
             for code, product in postings.chunks(row, val, lo, count):
                 dots += np.bincount(code, product, minlength=cells)
             yield start, _hellinger(dots).reshape(stop - start, b.n), None

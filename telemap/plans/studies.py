@@ -100,7 +100,8 @@ def command_line_vectors(study: Results, opts: Options | None = None) -> Results
     """Command lines as distributions over token vectors, and their cosine map."""
     opts = opts or Options()
     table = cut(cooccurrence.smooth_cooccurrence(study["tokens"], n_iter=opts.smoothing))
-    tokens = cut(reduce.token_vectors(table, opts.vector_width))
+    every = study["tokens"].select(F.explode("tokens").alias("token"))
+    tokens = cut(reduce.token_vectors(table, opts.vector_width, every))
     found = cut(
         transport.transport_embedding(
             study["weighted_bag"], tokens, opts.cloud, opts.embedding_width

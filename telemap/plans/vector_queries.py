@@ -141,8 +141,9 @@ def item_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_vectors_of(tokens: DataFrame, k: int, n_iter: int) -> DataFrame:
+    """A vector for every token, of lines of one token too."""
     table = cut(cooccurrence.smooth_cooccurrence(tokens, n_iter=n_iter))
-    return reduce.token_vectors(table, k)
+    return reduce.token_vectors(table, k, tokens.select(F.explode("tokens").alias("token")))
 
 
 @query()

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from telemap.operators import cooccurrence, neighbors, reduce, transport
+from telemap.plans import vector_queries
 
 
 def matrix_rows(spark, m):
@@ -24,10 +25,10 @@ def dense(df, n):
     return np.array([got[i] for i in range(n)])
 
 
-def brute(dist, k):
+def brute(dist, k, digits=12):
     out = {}
     for i in range(len(dist)):
-        d = np.round(dist[i], 6)
+        d = np.round(dist[i], digits)
         order = sorted((d[j], j) for j in range(len(d)) if j != i and np.isfinite(d[j]))
         out[i] = order[:k]
     return out
@@ -59,8 +60,9 @@ def test_knn_cosine_exact(spark, clumpy, block):
     }
 
 
-@pytest.mark.parametrize("block", [8, 1024])
-def test_knn_hellinger_exact(spark, block):
+@pytest.mark.parametrize("block,gain", [(8, 128), (1024, 128), (1024, 0.1)])
+def test_knn_hellinger_exact(spark, monkeypatch, block, gain):
+    monkeypatch.setattr(neighbors, "DENSE_GAIN", gain)
     rng = np.random.default_rng(5)
     m = rng.integers(0, 3, (120, 40)) * (rng.random((120, 40)) < 0.15)
     m[m.sum(1) == 0, 0] = 1
@@ -73,7 +75,7 @@ def test_knn_hellinger_exact(spark, block):
     dots = p @ p.T
     dist = np.where(dots > 0, np.sqrt(np.maximum(1 - dots, 0)), np.inf)
     got = found(neighbors.knn_hellinger(triples(spark, m), 4, block))
-    want = {i: v for i, v in brute(dist, 4).items() if v}
+    want = {i: v for i, v in brute(dist, 4, 9).items() if v}
     assert 119 not in got
     assert {i: [j for _, j in v] for i, v in got.items()} == {
         i: [j for _, j in v] for i, v in want.items()
@@ -212,3 +214,30 @@ def test_giant_bags_solved_across_tasks_agree(spark, transport_case):
     small = dense(transport.transport_rows(bag, vectors, cloud, iterations=6), 20)
     large = dense(transport.transport_rows(bag, vectors, cloud, iterations=6, bag_entries=12), 20)
     assert np.allclose(small, large, atol=1e-8)
+
+
+def test_every_token_has_a_vector(spark):
+    """Tokens that only end a line, or stand alone, come back as well."""
+    lines = [["run", "a"], ["run", "b"], ["run", "c", "d"], ["alone"], ["run", "a"]]
+    tokens = spark.createDataFrame([(t,) for t in lines], "tokens array<string>")
+    found = {r["id"]: r["vec"] for r in vector_queries.token_vectors_of(tokens, 3, 1).collect()}
+    assert set(found) == {"run", "a", "b", "c", "d", "alone"}
+    assert found["alone"] == [0.0] * 3
+    assert all(any(abs(v) > 1e-9 for v in found[t]) for t in ("a", "b", "c", "d"))
+
+
+@pytest.mark.parametrize("n", [1, 2, 6])
+def test_cloud_of_few_nearly_equal_points(spark, n):
+    points = [(i, [1.0 + 1e-12 * i, float(i % 2)]) for i in range(n)]
+    items = spark.createDataFrame(points, "id long, vec array<double>")
+    bag = spark.createDataFrame([(r, i, 1.0 + r) for r in range(3) for i in range(n)], "row_id long, col_id long, w double")
+    cloud = transport.reference_cloud(bag, items, 32)
+    assert len(cloud.mass) == min(n, 2) and abs(cloud.mass.sum() - 1) < 1e-12
+    assert transport.transport_embedding(bag, items, 32, 4).count() == 3
+
+
+def test_mass_without_vector(spark):
+    bag = spark.createDataFrame([("r", "a", 3.0), ("r", "b", 1.0), ("s", "a", 2.0)], "row_id string, col_id string, w double")
+    items = spark.createDataFrame([("a", [1.0])], "id string, vec array<double>")
+    lost = {r["row_id"]: r["lost"] for r in transport.mass_without_vector(bag, items).collect()}
+    assert lost == {"r": 0.25, "s": 0.0}
