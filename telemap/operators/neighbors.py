@@ -15,7 +15,7 @@ the norms of its parts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemap.session import cut
+from telemap.session import cut, forget
 
 BLOCK_ROWS = 1024
 SPARSE_BLOCK_ROWS = 8192
 BLOCK_ENTRIES = 262_144
 SLICE_CELLS = 4_000_000
 MAX_PIVOTS = 512
+DESCENT_ROWS = 256
 SIGNATURE = 32
 CHUNK_PRODUCTS = 8_000_000
 # Columns of a block that are multiplied as a dense matrix: at most so many, and worth it.
@@ -489,6 +490,101 @@ def nearest_rows(rows: DataFrame, kind: str, k: int, block_rows: int = BLOCK_ROW
     )
 
 
+# --- by descent --------------------------------------------------------------
+
+
+def _hoods(graph: DataFrame, k: int) -> DataFrame:
+    """``centre, id``: each row with its neighbours and the k nearest rows that name it as theirs."""
+    order = Window.partitionBy("neighbor").orderBy("dist", "id")
+    named = graph.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+    return (
+        graph.select(F.col("id").alias("centre"), F.col("neighbor").alias("id"))
+        .unionByName(named.select(F.col("neighbor").alias("centre"), "id"))
+        .unionByName(graph.select(F.col("id").alias("centre"), "id"))
+        .distinct()
+    )
+
+
+def _local_join(hoods: DataFrame, rows: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
+    """Pairs of each neighbourhood that beat what one of them has: ``(id, neighbor, dist)``."""
+    id_type = rows.schema["id"].dataType
+    member = F.struct("id", "bound", "vec")
+    packed = (
+        hoods.join(rows, "id").join(bounds, "id").groupBy("centre").agg(F.collect_list(member).alias("m"))
+    ).select(
+        F.transform("m", lambda x: x["id"]).alias("ids"),
+        F.transform("m", lambda x: x["bound"]).alias("bound"),
+        F.flatten(F.transform("m", lambda x: x["vec"])).alias("flat"),
+    )
+    schema = T.StructType(
+        [T.StructField("id", id_type), T.StructField("neighbor", id_type), T.StructField("dist", T.DoubleType())]
+    )
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for t in pdf.itertuples(index=False):
+                x = np.asarray(t.flat).reshape(len(t.ids), -1)
+                dist = np.round(_dense_distances("cosine", x, x), DIGITS["cosine"])
+                np.fill_diagonal(dist, np.inf)
+                row, col, d = _nearest(dist, k, np.asarray(t.bound))
+                ids = np.asarray(t.ids)
+                out.append(pd.DataFrame({"id": ids[row], "neighbor": ids[col], "dist": d}))
+            if out:
+                yield pd.concat(out)
+
+    return packed.mapInPandas(compare, schema)
+
+
+def descend(rows: DataFrame, k: int, still: float = 0.001, block_rows: int = DESCENT_ROWS) -> DataFrame:
+    """Nearly all k nearest other unit vectors of each: ``(id, neighbor, dist)``.
+
+    Neighbour descent (Dong, Charikar and Li 2011): neighbours of neighbours are likely
+    neighbours. The graph starts with the exact neighbours inside small blocks around
+    pivots and inside random groups; a round compares the rows of every neighbourhood, of at most 2 k + 1, with each
+    other. It ends when a round replaces no more than ``still`` of all links. A round
+    costs a bounded number of comparisons for each row.
+    """
+    rows = cut(rows.select("id", "vec"))
+    n = rows.count()
+    order = Window.partitionBy("id").orderBy("dist", "neighbor")
+    # rows dealt at random give those in small blocks a way out
+    chance = [F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(max(1, n // (2 * k)))).alias("centre") for turn in (1, 2)]
+    anyone = rows.select("id", F.lit(2.0).alias("bound"))
+    dealt = [_local_join(rows.select(c, "id"), rows, anyone, k) for c in chance]
+    first = _inside_blocks(rows, k, block_rows, n).unionByName(dealt[0]).unionByName(dealt[1]).distinct()
+    graph = cut(first.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r"))
+    while True:
+        # a row that has fewer than k neighbours yet takes any
+        bounds = graph.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far"))
+        bounds = rows.select("id").join(bounds, "id", "left").select(
+            "id", F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(2.0)).alias("bound")
+        )
+        found = _local_join(_hoods(graph, k), rows, bounds, k)
+        both = graph.select("id", "neighbor", "dist", F.lit(1).alias("old")).unionByName(found.withColumn("old", F.lit(0)))
+        one = both.groupBy("id", "neighbor").agg(F.min("dist").alias("dist"), F.max("old").alias("old"))
+        before, graph = graph, cut(one.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r"))
+        fresh = graph.filter("old = 0").count()
+        forget(before)
+        if fresh <= still * n * k:
+            return graph.drop("old")
+
+
+def _inside_blocks(rows: DataFrame, k: int, block_rows: int, n: int) -> DataFrame:
+    """Exact neighbours inside blocks of rows that lie near the same pivot."""
+    n_pivots = int(min(MAX_PIVOTS, max(1, n // block_rows)))
+    sample = rows.orderBy(F.xxhash64("id")).limit(n_pivots).toPandas()
+    if len(sample) == 0:
+        return rows.select("id", F.col("id").alias("neighbor"), F.lit(0.0).alias("dist"))
+    blocks = _pack(_assign(rows, _signatures(sample, False), False), "cosine", k, False, block_rows)
+    own = blocks.select("ids", F.inline(F.arrays_zip("own_row", "own_col", "own_dist")))
+    return own.select(
+        F.get("ids", F.col("own_row")).alias("id"),
+        F.get("ids", F.col("own_col")).alias("neighbor"),
+        F.col("own_dist").alias("dist"),
+    )
+
+
 # --- equal rows --------------------------------------------------------------
 
 
@@ -517,17 +613,24 @@ def unique_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return unique_rows(vectors.select("id", "vec"))
 
 
-def nearest_with_copies(rows: DataFrame, kind: str, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_with_copies(
+    rows: DataFrame,
+    kind: str,
+    k: int,
+    block_rows: int = BLOCK_ROWS,
+    search: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """As :func:`nearest_rows`, but copies of a row are compared only once.
 
     The nearest distinct rows are found first; each stands for its copies, of
     which the k+1 smallest ids can matter.  A row's candidates are therefore at
-    most (k+1)^2, however many copies exist.
+    most (k+1)^2, however many copies exist.  ``search`` takes the place of
+    :func:`nearest_rows` for the distinct rows.
     """
     rows = cut(rows)
     uniques, members = unique_rows(rows)
     members = cut(members)
-    found = nearest_rows(uniques, kind, k, block_rows).drop("rank")
+    found = search(uniques) if search else nearest_rows(uniques, kind, k, block_rows).drop("rank")
     if members.filter(F.col("id") != F.col("rep")).isEmpty():
         return found
     found = cut(found)
@@ -591,9 +694,17 @@ def knn_hellinger(wbag: DataFrame, k: int = 15, block_rows: int = SPARSE_BLOCK_R
     return nearest_with_copies(hellinger_rows(wbag), "hellinger", k, block_rows)
 
 
-def knn_cosine(vectors: DataFrame, k: int = 15, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """k nearest vectors by cosine distance."""
-    return nearest_with_copies(unit_vectors(vectors), "cosine", k, block_rows)
+def knn_cosine(
+    vectors: DataFrame, k: int = 15, block_rows: int = BLOCK_ROWS, exact: bool = True
+) -> DataFrame:
+    """k nearest vectors by cosine distance.
+
+    With ``exact=False`` by descent: linear in the rows, and nearly all of the neighbours.
+    """
+    rows = unit_vectors(vectors)
+    if exact:
+        return nearest_with_copies(rows, "cosine", k, block_rows)
+    return nearest_with_copies(rows, "cosine", k, search=lambda uniques: descend(uniques, k))
 
 
 def knn_plane(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -186,6 +186,19 @@ def lift_hosts(spark: SparkSession, folder: str) -> DataFrame:
     return _listed(transport.lift(cut(_host_wbag(instances)), vectors), 3)
 
 
+@query("SELECT count(*) AS rows, 15 * count(*) AS links, true AS enough FROM embeddings")
+def knn_descent(spark: SparkSession, folder: str) -> DataFrame:
+    """V7: neighbours by descent hold at least 95 of 100 of the exact ones."""
+    vectors = cut(embedding_vectors(spark, folder))
+    found = cut(neighbors.knn_cosine(vectors, 15, exact=False).select("id", "neighbor"))
+    exact = neighbors.knn_cosine(vectors, 15).select("id", "neighbor", F.lit(1).alias("hit"))
+    both = found.join(exact, ["id", "neighbor"], "left")
+    links = F.count(F.lit(1))
+    return both.agg(
+        F.count_distinct("id").alias("rows"), links.alias("links"), (F.coalesce(F.sum("hit"), F.lit(0)) >= 0.95 * links).alias("enough")
+    )
+
+
 @query()
 def pca_start(spark: SparkSession, folder: str) -> DataFrame:
     """Start positions by principal components."""

@@ -241,3 +241,24 @@ def test_mass_without_vector(spark):
     items = spark.createDataFrame([("a", [1.0])], "id string, vec array<double>")
     lost = {r["row_id"]: r["lost"] for r in transport.mass_without_vector(bag, items).collect()}
     assert lost == {"r": 0.25, "s": 0.0}
+
+
+def test_descent_finds_nearly_all_neighbours(spark):
+    rng = np.random.default_rng(8)
+    m = rng.standard_normal((1200, 16)) + 2 * rng.standard_normal((30, 16))[rng.integers(0, 30, 1200)]
+    m[50:90] = m[50]
+    rows = matrix_rows(spark, m)
+    near = lambda df: {(r["id"], r["neighbor"]) for r in df.collect()}
+    unit = neighbors.unit_vectors(rows)
+    exact = near(neighbors.knn_cosine(rows, 10))
+    first = near(neighbors._inside_blocks(neighbors.cut(unit), 10, 64, 1200))
+    found = near(neighbors.nearest_with_copies(unit, "cosine", 10, search=lambda u: neighbors.descend(u, 10, block_rows=64)))
+    assert len(found) == len(exact)
+    assert len(found & exact) >= 0.95 * len(exact) > len(first & exact)
+
+
+def test_descent_of_few_rows(spark):
+    for n in (0, 1, 2, 5):
+        rows = matrix_rows(spark, np.eye(6)[:n] + 0.1) if n else spark.createDataFrame([], "id long, vec array<double>")
+        exact = sorted(map(tuple, neighbors.knn_cosine(rows, 3).select("id", "neighbor", "dist").collect()))
+        assert sorted(map(tuple, neighbors.knn_cosine(rows, 3, exact=False).select("id", "neighbor", "dist").collect())) == exact
