@@ -536,15 +536,20 @@ def _local_join(hoods: DataFrame, rows: DataFrame, bounds: DataFrame, k: int) ->
     return packed.mapInPandas(compare, schema)
 
 
-def descend(rows: DataFrame, k: int, still: float = 0.001, block_rows: int = DESCENT_ROWS) -> DataFrame:
-    """Nearly all k nearest other unit vectors of each: ``(id, neighbor, dist)``.
+def descend(
+    rows: DataFrame, wanted: int, still: float = 0.001, block_rows: int = DESCENT_ROWS, pool: int = 2
+) -> DataFrame:
+    """Nearly all ``wanted`` nearest other unit vectors of each: ``(id, neighbor, dist)``.
 
     Neighbour descent (Dong, Charikar and Li 2011): neighbours of neighbours are likely
     neighbours. The graph starts with the exact neighbours inside small blocks around
-    pivots and inside random groups; a round compares the rows of every neighbourhood, of at most 2 k + 1, with each
-    other. It ends when a round replaces no more than ``still`` of all links. A round
-    costs a bounded number of comparisons for each row.
+    pivots and inside random groups. It holds k = ``pool * wanted`` neighbours of each
+    row, since the farther ones lead to near ones that the nearest do not know. A round
+    compares the rows of every neighbourhood, of at most 2 k + 1, with each other: a
+    bounded number of comparisons for each row. It ends when a round replaces no more
+    than ``still`` of all links.
     """
+    k = pool * wanted
     rows = cut(rows.select("id", "vec"))
     n = rows.count()
     order = Window.partitionBy("id").orderBy("dist", "neighbor")
@@ -567,7 +572,7 @@ def descend(rows: DataFrame, k: int, still: float = 0.001, block_rows: int = DES
         fresh = graph.filter("old = 0").count()
         forget(before)
         if fresh <= still * n * k:
-            return graph.drop("old")
+            return graph.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= wanted).drop("_r", "old")
 
 
 def _inside_blocks(rows: DataFrame, k: int, block_rows: int, n: int) -> DataFrame:
