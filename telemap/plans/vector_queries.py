@@ -160,7 +160,13 @@ def transport_docs(spark: SparkSession, folder: str) -> DataFrame:
     vectors = cut(token_vectors_of(tokens.select("tokens"), 16, 3))
     bag = bags.bag(tokens, "doc_id", "tokens")
     wbag = cut(weights.reweight(bag, weights.information_weights(bag), drop_zero=True))
-    return _listed(transport.transport_embedding(wbag, vectors), 3)
+    found = transport.transport_embedding(wbag, vectors)
+    return _listed(_every(tokens.select(F.col("doc_id").alias("id")), found), 3)
+
+
+def _every(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """Results for every id; a row that no column tells apart has a null vector."""
+    return ids.distinct().join(found, "id", "left")
 
 
 def _cmdline_vectors(instances: DataFrame) -> DataFrame:
@@ -183,7 +189,51 @@ def lift_hosts(spark: SparkSession, folder: str) -> DataFrame:
     """Host-times as distributions over command-line vectors."""
     instances = cut(inputs.host_instances(spark, folder))
     vectors = cut(_cmdline_vectors(instances))
-    return _listed(transport.lift(cut(_host_wbag(instances)), vectors), 3)
+    found = transport.lift(cut(_host_wbag(instances)), vectors)
+    return _listed(_every(instances.select(F.col("row_id").alias("id")), found), 3)
+
+
+_MEANS = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+     dim AS (SELECT vec_id, unnest(range(len(v))) AS d, unnest(v) AS x FROM e),
+     bag AS ({bag}),
+     own AS (SELECT row_id, d, sum(w * x) / sum(w) AS m FROM bag JOIN dim ON col_id = vec_id GROUP BY 1, 2),
+     mid AS (SELECT d, sum(w * x) / sum(w) AS m FROM bag JOIN dim ON col_id = vec_id GROUP BY 1)
+"""
+
+
+@query(
+    _MEANS.format(bag="SELECT label AS row_id, vec_id AS col_id, 1.0 + vec_id % 5 AS w FROM embeddings")
+    + "SELECT row_id AS id, d AS dim, round(own.m - mid.m, 6) + 0.0 AS moved FROM own JOIN mid USING (d)"
+)
+def transport_mean(spark: SparkSession, folder: str) -> DataFrame:
+    """Onto a cloud of one point a bag travels as its mean, taken from the mean of all."""
+    vectors = cut(embedding_vectors(spark, folder))
+    wbag = read_source(spark, folder, "embeddings").select(
+        F.col("label").alias("row_id"), F.col("vec_id").alias("col_id"), (F.col("vec_id") % 5 + 1.0).alias("w")
+    )
+    rows = transport.transport_rows(cut(wbag), vectors, transport.reference_cloud(wbag, vectors, 1))
+    return rows.select("id", F.posexplode("vec").alias("dim", "v")).select(
+        "id", F.col("dim").cast("long").alias("dim"), (F.round("v", 6) + 0.0).alias("moved")
+    )
+
+
+@query(
+    _MEANS.format(
+        bag="""SELECT user_id AS row_id, event_id % (SELECT count(*) FROM embeddings) AS col_id, CAST(count(*) AS DOUBLE) AS w
+               FROM events GROUP BY 1, 2"""
+    )
+    + "SELECT row_id AS id, round(sum((own.m - mid.m) ** 2), 5) + 0.0 AS squared FROM own JOIN mid USING (d) GROUP BY 1"
+)
+def lift_mean(spark: SparkSession, folder: str) -> DataFrame:
+    """Users lifted to the vectors of what they did, one reference point: the lengths stay as they are."""
+    vectors = cut(embedding_vectors(spark, folder))
+    events = read_source(spark, folder, "events")
+    bag = events.groupBy(F.col("user_id").alias("row_id"), (F.col("event_id") % vectors.count()).alias("col_id"))
+    wbag = cut(bag.agg(F.count(F.lit(1)).cast("double").alias("w")))
+    lifted = transport.lift(wbag, vectors, n_ref=1, dim=64)
+    total = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v)
+    return lifted.select("id", (F.round(total, 5) + 0.0).alias("squared"))
 
 
 @query("SELECT count(*) AS rows, 15 * count(*) AS links, true AS enough FROM embeddings")
