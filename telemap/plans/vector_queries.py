@@ -398,6 +398,47 @@ def stream_host_times(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: arrival of an event: most come in order of time, every eleventh in the last of the batches
+ARRIVALS = 4
+
+
+def _late_rows_sql() -> str:
+    return f"""WITH {inputs.HOST_INSTANCES_SQL},
+        span AS (SELECT min("timestamp") AS a, max("timestamp") AS b FROM instances),
+        came AS (
+          SELECT bin, hostname, cmdline, "timestamp" AS t,
+                 CASE WHEN CAST(pid_hash AS BIGINT) % 11 = 0 THEN {ARRIVALS - 1}
+                      ELSE least({ARRIVALS - 1}, {ARRIVALS} * (epoch_us("timestamp") - epoch_us(a)) // (epoch_us(b) - epoch_us(a) + 1)) END AS batch
+          FROM instances, span),
+        seen AS (SELECT batch, date_trunc('millisecond', max(t)) AS top FROM came GROUP BY 1),
+        mark AS (SELECT s.batch, (SELECT max(e.top) FROM seen e WHERE e.batch < s.batch - 1) - INTERVAL 3 HOUR AS w FROM seen s)
+        SELECT epoch_us(bin) AS bin_us, hostname, cmdline, count(*) AS n
+        FROM came JOIN mark USING (batch)
+        WHERE (w IS NULL OR bin + INTERVAL 3 HOUR > w)
+          AND bin + INTERVAL 3 HOUR <= (SELECT max(top) FROM seen) - INTERVAL 3 HOUR
+        GROUP BY 1, 2, 3"""
+
+
+@query(_late_rows_sql())
+def stream_late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows behind the watermark that the batch before ran with are left out.
+
+    That watermark comes from the batches before it, since Spark raises it between batches.
+    """
+    instances = cut(inputs.host_instances(spark, folder).select("pid_hash", "hostname", "cmdline", "timestamp"))
+    micros = F.unix_micros("timestamp")
+    span = instances.agg(F.min(micros).alias("a"), F.max(micros).alias("b")).first()
+    in_order = F.expr(f"{ARRIVALS} * (unix_micros(timestamp) - {span.a or 0}) div {(span.b or 0) - (span.a or 0) + 1}")
+    batch = F.when(F.col("pid_hash").cast("long") % 11 == 0, ARRIVALS - 1).otherwise(F.least(F.lit(ARRIVALS - 1), in_order))
+    path = scratch_path(spark, "arrivals")
+    for nth in range(ARRIVALS):  # one file for each micro-batch, in order of arrival
+        instances.filter(batch == nth).coalesce(1).write.mode("append").parquet(path)
+    arriving = spark.readStream.schema(instances.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    counts = _run_to_end(streaming.stream_host_time_counts(arriving, origin=inputs.TEST_ORIGIN), "late_rows")
+    names = instances.select(bags.object_id(F.col("cmdline")).alias("obj_id"), "cmdline").distinct()
+    return counts.join(names, "obj_id").select(F.unix_micros("bin").alias("bin_us"), "hostname", "cmdline", "n")
+
+
 @query(
     f"""WITH {inputs.HOST_INSTANCES_SQL},
         bag AS (SELECT row_id, cmdline AS col_id, count(*) AS n FROM instances GROUP BY 1, 2),
