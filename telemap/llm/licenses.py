@@ -10,14 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemap.llm.rows import send
-from telemap.llm.words import LETTERS, Runs, slices, words
+from telemap.llm.words import LETTERS, Runs, Words, slices, words
 
-#: words in a fingerprint, and fingerprints of which the smallest is kept
-GRAM, WINNOW = 3, 3
-#: a run of GRAM + WINNOW - 1 words that a text shares with a template always shares a fingerprint
+#: words in a fingerprint, and fingerprints of which the smallest is kept: a run of
+#: GRAM + WINNOW - 1 = 4 words that a text shares with a template always shares one
+GRAM, WINNOW = 3, 2
+#: templates of fewer words than this file every run of SHORT_GRAM words
+SHORT, SHORT_GRAM = 20, 2
+#: hits of one copy lie at most so far apart, and its words so far off
 BAND = 8
 MATCH, MISS, GAP = 2, -1, -1
-#: least part of a template that counts as found
+#: least part of a template that counts as found. A copy that lacks the rest, or has other
+#: words in its place, keeps a run of 4 words (of 2 in a short template) and so a fingerprint
 COVERAGE = 0.8
 
 # Notices and passages of common licenses.
@@ -70,28 +74,42 @@ class Index:
         self.names = [name for name, _ in templates]
         found = words(pa.array([text for _, text in templates]), LETTERS)
         self.words = [found.of(i) for i in range(len(templates))]
-        prints, template, place = [], [], []
-        for i, own in enumerate(self.words):
-            size = min(GRAM, len(own))
-            if size < GRAM:
-                raise ValueError(f"a template needs {GRAM} words: {self.names[i]}")
-            grams = Runs(own).of(np.arange(len(own) - size + 1), size)
-            at = winnowed(grams)
-            prints.append(grams[at])
-            template.append(np.full(len(at), i))
-            place.append(at)
-        order = np.argsort(np.concatenate(prints), kind="stable")
-        self.prints = np.concatenate(prints)[order]
-        self.template = np.concatenate(template)[order]
-        self.place = np.concatenate(place)[order]
-
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in ``grams``, templates and places in them of all shared fingerprints."""
-        low = np.searchsorted(self.prints, grams, "left")
-        some = np.flatnonzero(self.prints[np.minimum(low, len(self.prints) - 1)] == grams)
-        many = np.searchsorted(self.prints, grams[some], "right") - low[some]
-        entry = np.repeat(low[some] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))
-        return np.repeat(some, many), self.template[entry], self.place[entry]
+        self.parts = {}
+        for size, chosen in ((SHORT_GRAM, lambda n: n < SHORT), (GRAM, lambda n: n >= SHORT)):
+            prints, template, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, own in enumerate(self.words):
+                if len(own) < SHORT_GRAM:
+                    raise ValueError(f"a template needs {SHORT_GRAM} words: {self.names[i]}")
+                if chosen(len(own)):
+                    grams = Runs(own).of(np.arange(len(own) - size + 1), size)
+                    at = winnowed(grams) if size == GRAM else np.arange(len(grams))
+                    prints.append(grams[at])
+                    template.append(np.full(len(at), i))
+                    place.append(at)
+            order = np.argsort(np.concatenate(prints), kind="stable")
+            self.parts[size] = tuple(np.concatenate(x)[order] for x in (prints, template, place))
+
+    def hits(self, found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts, places in all words, templates and places in them of all shared fingerprints, by place."""
+        out = []
+        runs = Runs(found.hashes)
+        for size, (prints, template, offset) in self.parts.items():
+            starts = np.arange(max(len(found.hashes) - size + 1, 0))
+            if not len(starts) or not len(prints):
+                continue
+            grams = runs.of(starts, size)
+            low = np.searchsorted(prints, grams, "left")
+            some = np.flatnonzero(prints[np.minimum(low, len(prints) - 1)] == grams)
+            row = np.searchsorted(found.ends, some, "right") - 1
+            some, row = (x[some + size <= found.ends[row + 1]] for x in (some, row))
+            many = np.searchsorted(prints, grams[some], "right") - low[some]
+            entry = np.repeat(low[some] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            out.append((np.repeat(row, many), np.repeat(some, many), template[entry], offset[entry]))
+        if not out:
+            return (np.zeros(0, np.int64),) * 4
+        row, place, template, offset = (np.concatenate(x) for x in zip(*out))
+        order = np.argsort(place, kind="stable")
+        return row[order], place[order], template[order], offset[order]
 
 
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[int, list[tuple[int, int]]]:
@@ -139,39 +157,47 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
 
 
 def matches(index: Index, text: np.ndarray, place: np.ndarray, template: np.ndarray, offset: np.ndarray) -> list[dict]:
-    """Templates found in one text, given its fingerprint hits in order of place."""
+    """Templates found in one text, given its fingerprint hits in order of place.
+
+    A copy is sought from the earliest start that a hit implies, in a window of one
+    template and its band, so every hit costs at most one alignment of bounded size.
+    """
     out = []
     for t in np.unique(template).tolist():
         own = index.words[t]
+        wanted = COVERAGE * len(own)
         mine = template == t
-        at, shift = place[mine], (place - offset)[mine]
-        # hits that one copy of the template can hold stay together
-        group = np.cumsum(np.concatenate(([0], np.diff(np.sort(shift)) > 2 * BAND)))
-        order = np.argsort(shift, kind="stable")
-        for g in range(int(group[-1]) + 1):
-            members = order[group == g]
-            free = text.copy()  # words that no copy of this template has taken
-            while len(members):
-                low, high = int(shift[members].min()), int(shift[members].max())
-                band = BAND + (high - low + 1) // 2
-                middle = (low + high) // 2
-                begin = max(0, int(at[members].min()) - len(own) - band)
-                end = min(len(text), int(at[members].max()) + len(own) + band + GRAM)
-                found, spans = align(own, free[begin:end], middle - begin, band)
-                if found < COVERAGE * len(own):
-                    break
-                spans = [(begin + a, begin + b) for a, b in spans]
-                out.append(
-                    {
-                        "template": index.names[t],
-                        "coverage": found / len(own),
-                        "spans": [{"start": a, "end": b} for a, b in spans],
-                    }
-                )
-                for a, b in spans:
-                    free[a:b] = 0
-                outside = (at[members] + GRAM <= spans[0][0]) | (at[members] >= spans[-1][1])
-                members = members[outside]
+        order = np.argsort((place - offset)[mine], kind="stable")
+        at, shift = place[mine][order], (place - offset)[mine][order]
+        open_ = np.ones(len(at), dtype=bool)
+        known = np.isin(text, own)
+        free = text.copy()  # words that no copy of this template has taken
+        first = 0
+        while first < len(at):
+            if not open_[first]:
+                first += 1
+                continue
+            low = int(shift[first])
+            begin, end = max(0, low - BAND), min(len(text), low + len(own) + 3 * BAND)
+            found = 0
+            if known[begin:end].sum() >= wanted:
+                found, spans = align(own, free[begin:end], low + BAND - begin, 2 * BAND)
+            if found < wanted:
+                first += 1
+                continue
+            spans = [(begin + a, begin + b) for a, b in spans]
+            out.append(
+                {
+                    "template": index.names[t],
+                    "coverage": found / len(own),
+                    "spans": [{"start": a, "end": b} for a, b in spans],
+                }
+            )
+            for a, b in spans:
+                free[a:b] = 0
+                known[a:b] = False
+            near = slice(first, int(np.searchsorted(shift, low + len(own) + 4 * BAND, "right")))
+            open_[near] &= (at[near] < spans[0][0]) | (at[near] >= spans[-1][1])
     return sorted(out, key=lambda m: (m["spans"][0]["start"], m["template"]))
 
 
@@ -212,17 +238,12 @@ def scan_licenses(
             found = words(batch.column(1), LETTERS)
             candidates = np.zeros(len(found), dtype=np.int64)
             licenses: list[list] = [[] for _ in range(len(found))]
-            starts = np.arange(max(len(found.hashes) - GRAM + 1, 0))
-            if len(starts):
-                place, template, offset = index.hits(Runs(found.hashes).of(starts, GRAM))
-                row = np.searchsorted(found.ends, place, "right") - 1
-                ok = place + GRAM <= found.ends[row + 1]
-                place, template, offset, row = place[ok], template[ok], offset[ok], row[ok]
-                bounds = np.searchsorted(row, np.arange(len(found) + 1))
-                for i in np.unique(row).tolist():
-                    cut = slice(bounds[i], bounds[i + 1])
-                    candidates[i] = len(np.unique(template[cut]))
-                    licenses[i] = matches(index, found.of(i), place[cut] - found.ends[i], template[cut], offset[cut])
+            row, place, template, offset = index.hits(found)
+            bounds = np.searchsorted(row, np.arange(len(found) + 1))
+            for i in np.unique(row).tolist():
+                cut = slice(bounds[i], bounds[i + 1])
+                candidates[i] = len(np.unique(template[cut]))
+                licenses[i] = matches(index, found.of(i), place[cut] - found.ends[i], template[cut], offset[cut])
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column(0),

@@ -1,7 +1,9 @@
 """Quality, licenses, addresses, shards, preferences, mixing and the pipeline."""
 
 import hashlib
+import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -135,6 +137,37 @@ def test_licenses(spark):
     assert G.scan_licenses(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_every_edited_template_is_found_like_by_full_alignment(spark):
+    """Any one word replaced or dropped; as many as the coverage leaves, evenly spread."""
+    docs, expected = [], []
+    for name, text in G.TEMPLATES:
+        own = brute.letters(text)
+        lost = len(own) - math.ceil(G.COVERAGE * len(own))
+        spread = {round((k + 1) * len(own) / (lost + 1)) - 1 for k in range(lost)}
+        forms = [[w if k != p else "other" for k, w in enumerate(own)] for p in range(len(own))]
+        forms += [own[:p] + own[p + 1 :] for p in range(len(own))]
+        forms += [[w if k not in spread else "other" for k, w in enumerate(own)]]
+        for form in forms:
+            if plain_alignment(own, form)[0] >= G.COVERAGE * len(own):
+                docs.append((len(docs), "some text before " + " ".join(form) + " and after"))
+                expected.append(name)
+    assert len(docs) > 300
+    found = {r["doc_id"]: [m["template"] for m in r["licenses"]] for r in G.scan_licenses(frame(spark, docs)).collect()}
+    assert [i for i, name in enumerate(expected) if name not in found[i]] == []
+
+
+def test_many_copies_of_a_notice_in_one_long_text(spark):
+    notice = "Released under the MIT License. "
+    seconds = []
+    for n in (1000, 4000):
+        begin = time.time()
+        (row,) = G.scan_licenses(frame(spark, [(1, notice * n)])).collect()
+        seconds.append(time.time() - begin)
+        starts = [m["spans"][0]["start"] for m in row["licenses"]]
+        assert [m["template"] for m in row["licenses"]] == ["MIT notice"] * n and starts == list(range(0, 5 * n, 5))
+    assert seconds[1] < 8 * seconds[0] + 5
+
+
 def test_winnowing_keeps_a_fingerprint_of_every_long_run():
     r = np.random.default_rng(1)
     for _ in range(50):
