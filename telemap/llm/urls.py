@@ -17,7 +17,8 @@ TOKEN = "[a-z0-9\\x{80}-\\x{10FFFF}]+"
 class Rule(NamedTuple):
     """``pattern`` must match host and path joined; the highest ``rank`` wins.
 
-    ``tokens`` are literal tokens that every address the pattern matches must hold.
+    ``tokens`` are literal tokens that every address the pattern matches must hold; a
+    rule without any is tried on every address.
     """
 
     name: str | None
@@ -78,7 +79,7 @@ def judge_urls(
     Each different host and path is judged once. Tokens of all addresses are counted;
     a rule is filed under that token of its own that the fewest addresses hold. A join
     of address tokens with this index gives the rules worth trying, and only those run
-    their regular expression. The highest rank wins, ties go to the rule named first. No
+    their regular expression. Rules without a token are tried on every address. The highest rank wins, ties go to the rule named first. No
     rule: ``default``. A null address or one without ``://`` has empty host and path.
     Repeated rows are all returned; an empty table gives none; other columns are ignored.
     The rule list is an argument, so its size is that of the caller's own program.
@@ -105,13 +106,18 @@ def judge_urls(
         "rule_id int, name string, pattern string, verdict string, rank int",
     )
     filed = F.broadcast(index.join(about, "rule_id"))  # the caller's list
+    tried = tokens.join(filed, "token").drop("token")
+    bare = [i for i, r in enumerate(rules) if not r.tokens]
+    if bare:  # no literal to file them under: every address tries them
+        every = sites.withColumn("rule_id", F.explode(F.array(*map(F.lit, bare))))
+        tried = tried.unionByName(every.join(F.broadcast(about), "rule_id"))
     fits = (
-        tokens.join(filed, "token")
-        .filter(F.expr("concat(host, path) rlike pattern"))
+        tried.filter(F.expr("concat(host, path) rlike pattern"))
         .groupBy("host", "path")
         .agg(F.max_by(F.struct("name", "verdict"), F.struct("rank", (-F.col("rule_id")).alias("first"))).alias("best"))
     )
-    return parts.join(cut(fits), ["host", "path"], "left").select(
+    # addresses grow with the table, however small their file
+    return parts.join(cut(fits).hint("merge"), ["host", "path"], "left").select(
         key,
         "host",
         "path",

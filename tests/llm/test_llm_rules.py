@@ -201,6 +201,13 @@ def test_odd_addresses(spark):
     assert U.judge_urls(table.limit(0)).count() == 0
 
 
+def test_rules_without_a_literal_are_tried(spark):
+    table = spark.createDataFrame([(1, "http://a1234.org/x"), (2, "http://a12.org/"), (3, None)], "page_id long, url string")
+    rule = U.Rule("digits", "^[^/]*[0-9]{4}", "block", 5, ())
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in U.judge_urls(table, (*U.SITES, rule)).collect()}
+    assert found == {1: ("digits", "block"), 2: (None, "allow"), 3: (None, "allow")}
+
+
 def test_odd_shards(spark):
     docs = odd_documents()
     rows = H.contiguous_shards(frame(spark, docs), shards=4).collect()
