@@ -11,7 +11,7 @@ from telemap.llm.neardup import near_duplicates
 from telemap.llm.quality import judge_quality
 from telemap.llm.rows import LAST
 from telemap.llm.sharding import contiguous_shards
-from telemap.session import cut
+from telemap.session import cut, forget, settled
 
 #: The stages rest on iterated estimates and fits; the tests hold each against a brute-force version.
 ORACLE_SQL = None
@@ -27,7 +27,11 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules accept."""
+    """Documents that the quality rules accept.
+
+    Null and empty texts fail; repeated rows share a verdict and stay or go together; an
+    empty table stays empty. Null languages and sources are values of their own.
+    """
     return judge_quality(docs).filter("kept").select("row.*")
 
 
@@ -47,19 +51,31 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark.
+
+    Null and empty texts have no words and stay; repeated rows share a verdict; rows
+    without an id are told apart by their text. An empty table or benchmark takes nothing out.
+    """
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(is_contaminated())
     dirty = cut(found.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), "th").distinct())
     return _packed(docs).join(dirty, ["ord", "th"], "left_anti").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rates say."""
+    """Documents as often as their fitted rates say.
+
+    Null and empty texts have no features and get the rate of the classifier's offsets;
+    repeated rows have one rate; without labels every rate is 1. An empty table stays empty.
+    """
     return repeated(mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with ``size``, ``shard`` and ``slot``."""
+    """The documents with ``size``, ``shard`` and ``slot``.
+
+    A null text has size 1; rows without an id come last; repeated rows get slots of their
+    own. An empty table stays empty.
+    """
     return contiguous_shards(docs)
 
 
@@ -73,8 +89,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every stage's table lies in the shared folder."""
+    """All stages over ``documents``; every stage's table lies in the shared folder.
+
+    What a stage wrote on the way, and what it read, is deleted once its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        before = docs
+        docs = settled(lambda: stage(spark, before, sf_dir))
+        forget(before)
     return docs
