@@ -23,7 +23,6 @@ MIN_GROUP = 100
 ALPHA = 1e-8
 #: concentration ends when no log determinant falls by more than this
 STILL = 1e-3
-MAX_STEPS = 30
 
 _ok = {"w": "greatest(n_words, 1L)", "c": "greatest(word_chars, 1L)"}
 #: transformed statistics, each with the spread that is never taken for an outlier's
@@ -188,7 +187,7 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     steps: list[DataFrame] = []
     every = near.groupBy("grp", F.lit(1).alias("start"), F.lit(1e9).alias("old")).agg(F.count("*").alias("n"), *adding)
     now = cut(first.unionByName(estimate(every).withColumn("spread", F.lit(1e9))))
-    for _ in range(MAX_STEPS):
+    while True:  # a step that goes on lowers a determinant by more than STILL, and floors bound it
         far = near.join(now.withColumn("old", F.col("spread")), "grp").withColumn("bin", F.floor(64 * F.log1p(_distance())))
         binned = far.groupBy(_anew(), "start", "old", "bin").agg(F.count("*").alias("n"), *adding)
         order = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -200,7 +199,7 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
         kept = inside.groupBy(*keys, "old").agg(F.sum("n").alias("n"), *[F.sum(name).alias(name) for name in sums])
         step = cut(estimate(kept))
         steps.append(step)
-        now = step.filter(F.col("old") - F.col("spread") > STILL)
+        now = step.filter((F.col("old") - F.col("spread") > STILL) & ~F.isnan("spread"))
         if not now.limit(1).count():
             break
     every = reduce(DataFrame.union, steps)

@@ -37,7 +37,7 @@ def numpy_estimate(x):
     best = None
     for mean, cov in ((np.zeros(Q.P), np.diag(floor**2)), (z.mean(0), np.cov(z.T, bias=True) + np.diag(floor**2))):
         old = 1e9
-        for _ in range(Q.MAX_STEPS):
+        for _ in range(1000):
             d2 = np.einsum("ij,jk,ik->i", z - mean, np.linalg.inv(cov), z - mean)
             level = np.floor(64 * np.log1p(d2))
             reach = np.sort(level)[int(np.ceil(Q.SUBSET * len(x))) - 1]
