@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemap.llm.prefixes import full_sets, links, prefix_length, pruned, shingle_sets, similar_pairs
+from telemap.llm.prefixes import links, prefix_length, pruned, shingle_sets, sieved_sets, similar_pairs
 from telemap.llm.rows import components, keyed, send
 from telemap.llm.words import mix, slices
 from telemap.session import cut, settled
@@ -124,12 +124,14 @@ def _ngram_groups(rows: DataFrame) -> DataFrame:
     )
     held = cut(index.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token"))
     entries = pruned(index.join(held, "token", "left_semi"), PERCENT)
-    # members of a group and of groups that share a list can have links
-    several = members.groupBy("group").agg(F.count("*").alias("many")).filter("many > 1").select("group")
-    wanted = entries.select("group").union(several).distinct()
-    used = cut(members.join(cut(wanted), "group", "left_semi"))
-    sets = cut(full_sets(rows, used.select("node", "ord", "th"), SHINGLE))
-    edges = links(entries, used.select("group", "node"), PERCENT, lambda pairs: similar_pairs(pairs, sets, PERCENT))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """Only what some pair has left is fetched as a whole set."""
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = cut(sieved_sets(rows, cut(members.join(asked, "node", "left_semi")), SHINGLE))
+        return similar_pairs(pairs, sets, PERCENT)
+
+    edges = links(entries, members.select("group", "node"), PERCENT, verify)
     labels = components(edges)
     return in_components(scanned, classes, labels)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemap.llm.rows import components
+from telemap.llm.rows import components, send
 from telemap.llm.words import FOLDED, Runs, shingle_starts, slices, words
 from telemap.session import cut, forget
 
@@ -56,6 +56,46 @@ def full_sets(docs: DataFrame, nodes: DataFrame, size: int, *carry: str) -> Data
     return joined.mapInArrow(gather, f"node long, n long, shingles binary{kinds}")
 
 
+#: bits of the filter that keeps rows of no candidate out of the shuffle; its size is fixed
+SIEVE = 1 << 23
+
+
+def sieved_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """As ``full_sets``; sets are taken where texts are read, and only likely ones are shuffled.
+
+    A bit for each hash of a wanted row, of fixed number, goes to the tasks; what passes by
+    chance goes in the join with ``nodes``.
+    """
+    place = F.pmod(F.xxhash64("ord", "th"), F.lit(SIEVE))
+    marks = nodes.select(place.alias("h")).groupBy(F.shiftright("h", 15).alias("page")).agg(F.expr("bitmap_construct_agg(h & 32767)").alias("bits"))
+    pages = np.zeros((SIEVE >> 15, 4096), dtype=np.uint8)
+    for row in marks.collect():  # at most SIEVE / 32768 rows
+        pages[row["page"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    sent = send(docs.sparkSession, pages.ravel())
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent()
+        for whole in batches:
+            h = whole.column("h").to_numpy()
+            likely = np.flatnonzero(bits[h >> 3] >> (h & 7).astype(np.uint8) & 1)
+            for batch in slices(iter([whole.take(pa.array(likely))]), "text"):
+                hashes, ends = shingle_sets(batch.column("text"), size)
+                packed = [hashes[ends[i] : ends[i + 1]].tobytes() for i in range(len(ends) - 1)]
+                yield pa.RecordBatch.from_pydict(
+                    {"ord": batch.column("ord"), "th": batch.column("th"), "n": pa.array(np.diff(ends)), "shingles": pa.array(packed, pa.binary())}
+                )
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of a row meet in one task; one of them is enough
+        for batch in batches:
+            node = batch.column("node").to_pylist()
+            yield batch.take(pa.array([i for i, x in enumerate(node) if x not in seen and not seen.add(x)], pa.int64()))
+
+    likely = docs.select("ord", "th", "text", place.alias("h")).mapInArrow(gather, "ord long, th long, n long, shingles binary")
+    joined = likely.join(nodes.select("node", "ord", "th"), ["ord", "th"]).select("node", "n", "shingles")
+    return joined.mapInArrow(once, "node long, n long, shingles binary")
+
+
 def common(a: bytes, b: bytes) -> tuple[int, int, int]:
     """Sizes of two packed sorted sets and of their intersection."""
     x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
