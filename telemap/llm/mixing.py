@@ -20,6 +20,7 @@ SAMPLE = 20_000
 FEATURES, STEM = 1 << 17, 6
 #: ridge and steps of the fit
 RIDGE, STEPS = 1.0, 150
+MAX_STEPS = 60
 #: a feature speaks for or against a domain from this many standard errors on
 CLEAR = 3.5
 #: the steps end when no domain's total moves by more than this share of it
@@ -242,8 +243,8 @@ def fit_rates(table: DataFrame, domains: list[Domain], factor: Callable[[Domain]
     the relative errors, and the largest eigenvalue is 1, so the step length is 1. A
     round is one pass that sums a number for each domain; a document's rate follows
     from its posterior and the steps so far, so no rates are kept between rounds. Rounds end
-    when no domain's total moves by more than ``STILL`` of what it was: the gradient that the
-    bounds leave is then that small.
+    when no total moves by more than ``STILL`` of what it was, or after ``MAX_STEPS``: where
+    posteriors overlap much the last digits of the fit would take thousands of rounds.
     """
     width = len(domains)
 
@@ -263,7 +264,7 @@ def fit_rates(table: DataFrame, domains: list[Domain], factor: Callable[[Domain]
     present = reached = totals(steps)
     wanted = present * np.array([factor(d) for d in domains])
     scale = np.maximum(present, 1e-12 * max(present.sum(), 1.0))
-    while True:
+    for _ in range(MAX_STEPS):
         steps = np.vstack((steps, (reached - wanted) / scale))
         after = totals(steps)
         moved = np.abs(after - reached) / scale
