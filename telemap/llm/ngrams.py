@@ -32,7 +32,7 @@ def occurrences(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             hashes, _ = shingle_sets(batch.column("text"), SHINGLE)
             total += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         pages = total.reshape(-1, PAGE)
@@ -66,7 +66,7 @@ def scan(docs: DataFrame, often: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = sent()
         rid = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             hashes, ends = shingle_sets(batch.column("text"), SHINGLE)
             sizes = np.diff(ends)
             sums = []

@@ -75,19 +75,18 @@ def sieved_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent()
-        for whole in batches:
-            h = whole.column("h").to_numpy()
-            likely = np.flatnonzero(bits[h >> 3] >> (h & 7).astype(np.uint8) & 1)
-            for batch in slices(iter([whole.take(pa.array(likely))]), "text"):
-                hashes, ends = shingle_sets(batch.column("text"), size)
-                packed = [hashes[ends[i] : ends[i + 1]].tobytes() for i in range(len(ends) - 1)]
-                yield pa.RecordBatch.from_pydict(
-                    {"ord": batch.column("ord"), "th": batch.column("th"), "n": pa.array(np.diff(ends)), "shingles": pa.array(packed, pa.binary())}
-                )
+        for batch in slices(batches, "text", 2 << 20):
+            h = batch.column("h").to_numpy()
+            batch = batch.take(pa.array(np.flatnonzero(bits[h >> 3] >> (h & 7).astype(np.uint8) & 1)))
+            hashes, ends = shingle_sets(batch.column("text"), size)
+            packed = [hashes[ends[i] : ends[i + 1]].tobytes() for i in range(len(ends) - 1)]
+            yield pa.RecordBatch.from_pydict(
+                {"ord": batch.column("ord"), "th": batch.column("th"), "n": pa.array(np.diff(ends)), "shingles": pa.array(packed, pa.binary())}
+            )
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies of a row meet in one task; one of them is enough
-        for batch in batches:
+        for batch in slices(batches, "shingles", 2 << 20):
             node = batch.column("node").to_pylist()
             yield batch.take(pa.array([i for i, x in enumerate(node) if x not in seen and not seen.add(x)], pa.int64()))
 
