@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: tables written by ``cut`` inside each running ``settled``, innermost last
 _WRITTEN: list[list[DataFrame]] = []
+#: bytes of an Arrow batch that goes to a Python worker inside ``settled``, at most
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def session(app: str = "telemap", master: str | None = None, **conf: str) -> SparkSession:
@@ -85,15 +88,25 @@ def settled(build: Callable[[], DataFrame]) -> DataFrame:
     """Write what ``build`` returns and delete the tables that ``cut`` wrote on the way.
 
     An operator that leaves only its result behind costs no disk while later ones run.
+    Its rows go to Python workers in batches of ``BATCH_BYTES`` at most, so that tasks with
+    wide rows stay small on both sides.
     """
+    spark = SparkSession.getActiveSession()
+    usual = spark.conf.get(_BATCH) if spark else None
+    if spark:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     _WRITTEN.append([])
     try:
         result = build()
     except BaseException:
         _WRITTEN.pop()
         raise
-    tables = _WRITTEN.pop()
-    table = cut(result)
+    else:
+        tables = _WRITTEN.pop()
+        table = cut(result)
+    finally:
+        if spark:
+            spark.conf.set(_BATCH, usual)
     forget(*(t for t in tables if t is not result))
     if getattr(result, "_cut_path", None):
         forget(result)
