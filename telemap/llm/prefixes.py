@@ -107,10 +107,10 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) with 100 * common >= percent * all of their sets."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "xa", 2 << 20):
             keep = []
-            for i, (a, b) in enumerate(zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist())):
-                n, m, both = common(a, b)
+            for i, (a, b) in enumerate(zip(batch.column("xa"), batch.column("xb"))):  # one pair at a time
+                n, m, both = common(a.as_buffer(), b.as_buffer())
                 if 100 * both >= percent * (n + m - both):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
