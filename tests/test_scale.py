@@ -32,3 +32,38 @@ def test_short_rows_make_their_pairs_without_tiles(spark, monkeypatch):
     check(cooccurrence.bag_cooccurrence(bag, block=6, slab=40, short=8))
     sizes = (m > 0).sum(axis=1)
     assert seen == [sizes[sizes > 8].sum()]
+
+
+def _smoothed(lines: list[list[str]], n_iter: int, radius: int, harmonic: bool) -> dict:
+    """The definition, place by place."""
+    weight = lambda d: 1.0 / d if harmonic else 1.0
+    places = [(line[i], d, line[i + d], (n, i)) for n, line in enumerate(lines) for i in range(len(line)) for d in range(1, radius + 1) if i + d < len(line)]
+    table: dict = {}
+    for c1, d, c2, _ in places:
+        table[c1, c2] = table.get((c1, c2), 0.0) + weight(d)
+    for _ in range(n_iter):
+        total: dict = {}
+        for (c1, _c2), w in table.items():
+            total[c1] = total.get(c1, 0.0) + w
+        z = [weight(d) * table[c1, c2] / total[c1] for c1, d, c2, _ in places]
+        window: dict = {}
+        for (*_, at), v in zip(places, z):
+            window[at] = window.get(at, 0.0) + v
+        table = {}
+        for (c1, _d, c2, at), v in zip(places, z):
+            table[c1, c2] = table.get((c1, c2), 0.0) + v / window[at]
+    return table
+
+
+def test_smoothing_by_first_token_equals_its_definition(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    lines = [[f"w{int(v)}" for v in rng.zipf(1.6, n) % 12] for n in rng.integers(0, 40, 30)] + [["w1", "w2"] * 20] * 3
+    df = spark.createDataFrame([(line,) for line in lines], "tokens array<string>").repartition(3)
+    monkeypatch.setattr(cooccurrence, "CHUNK_WINDOWS", 16)
+    for kernel in cooccurrence.KERNELS:
+        want = _smoothed(lines, 2, 4, kernel == "harmonic")
+        for limit in (10_000, 25):  # no token is cut into chunks; the frequent ones are
+            table = cooccurrence.smooth_cooccurrence(df, n_iter=2, radius=4, kernel=kernel, limit=limit)
+            got = {(r["c1"], r["c2"]): r["w"] for r in table.collect()}
+            assert got.keys() == want.keys()
+            assert all(abs(got[pair] - want[pair]) < 1e-9 for pair in want)
