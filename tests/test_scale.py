@@ -1,6 +1,7 @@
 """Work that must grow with the rows: few copies of entries travel, results stay whole."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from telemap.operators import cooccurrence
 
@@ -92,3 +93,36 @@ def test_blocks_travel_in_groups(spark, monkeypatch):
     want = np.lexsort((np.broadcast_to(np.arange(300), dist.shape), dist))[:, :4]
     assert got == {(i, j + 1): int(want[i, j]) for i in range(300) for j in range(4)}
     assert all(n_groups < n_blocks for n_blocks, n_groups in counts)
+
+
+def test_pairs_within_bounds_are_those_of_the_whole_matrix(monkeypatch):
+    from telemap.operators import neighbors
+
+    rng = np.random.default_rng(2)
+    dist = np.round(rng.random((40, 60)), 2) + rng.random((40, 60)) * 1e-12
+    for bound in (np.full(40, 0.05), np.full(40, 0.9), np.full(40, np.inf)):
+        ranked = []
+        whole = neighbors._nearest
+        want = whole(np.round(dist, 9), 5, bound)
+        monkeypatch.setattr(neighbors, "_nearest", lambda *a: ranked.append(1) or whole(*a))
+        got = neighbors._nearest_within(dist, 5, bound, 9)
+        monkeypatch.setattr(neighbors, "_nearest", whole)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want))
+        assert bool(ranked) == (bound[0] > 0.5)
+
+
+def test_a_warm_map_seeks_neighbours_once(spark, monkeypatch):
+    from telemap.operators import neighbors
+    from telemap.plans import vector_queries
+
+    calls = []
+    nearest = neighbors.nearest_rows
+    monkeypatch.setattr(neighbors, "nearest_rows", lambda *a, **kw: calls.append(1) or nearest(*a, **kw))
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(5).tolist()) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "id long, vec array<double>")
+    monkeypatch.setattr(vector_queries, "embedding_vectors", lambda *a: vectors)
+    flat = [F.lit(0.0).alias(c) for c in "xy"]
+    monkeypatch.setattr(vector_queries.layout, "data_map", lambda rows, *a: rows.select("id", *flat))
+    assert vector_queries.map_warm(spark, "").count() == 60
+    assert len(calls) == 1
