@@ -126,3 +126,27 @@ def test_a_warm_map_seeks_neighbours_once(spark, monkeypatch):
     monkeypatch.setattr(vector_queries.layout, "data_map", lambda rows, *a: rows.select("id", *flat))
     assert vector_queries.map_warm(spark, "").count() == 60
     assert len(calls) == 1
+
+
+def test_weighted_bag_with_common_columns_in_place(spark, monkeypatch):
+    from telemap.operators import weights
+
+    bag, _ = _bag(spark, 30, 20, 8)
+    bag = bag.select("row_id", "col_id", F.col("w").cast("long").alias("n"))
+    bag = bag.unionByName(spark.createDataFrame([(None, "c00", 3), (None, "c01", 2)], bag.schema))
+    key = lambda r: (r["row_id"] is None, r["row_id"], r["col_id"])
+    want = sorted(weights.reweight(bag, weights.information_weights(bag)).collect(), key=key)
+    for common in (0, 4, 100):
+        monkeypatch.setattr(weights, "COMMON", common)
+        got = sorted(weights.information_bag(bag).collect(), key=key)
+        assert [key(r) for r in got] == [key(r) for r in want]
+        assert np.allclose([r["w"] for r in got], [r["w"] for r in want])
+
+
+def test_tokens_of_documents_are_not_shuffled(spark):
+    from telemap.plans import bag_queries, inputs
+
+    small = "/root/testdata/sf0.001"
+    for table in (inputs.document_bag(spark, small), bag_queries.ngram_bag(spark, small)):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
