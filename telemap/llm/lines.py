@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemap.llm.rows import in_ranges, keyed, prefix_sums, send
@@ -17,6 +18,10 @@ from telemap.session import cut, forget, settled
 PERCENT = 75
 #: counters of the rarity table; words share one by hash, so its size is fixed
 COUNTERS = 1 << 18
+#: bits of the filter that lines pass before their words are shuffled; its size is fixed
+SIEVE = 1 << 23
+#: the index is built for so many slices of the tokens, one after the other, and for fewer where a slice would hold less than SLICE_SETS sets
+SLICES, SLICE_SETS = 4, 50_000
 
 
 def split_lines(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -30,7 +35,7 @@ def line_sets(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct word hashes of each line, end to end, and where each set begins."""
     found = words(lines, FOLDED)
     owner = found.owner()
-    order = np.lexsort((found.hashes, owner))
+    order = _by_owner(owner, found.hashes)
     owner, hashes = owner[order], found.hashes[order]
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
@@ -38,6 +43,28 @@ def line_sets(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(owner, np.arange(len(lines) + 1))
 
 
+def _by_owner(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Order by owner, then hash: one sort of both packed into a word, unless its bits do not tell two hashes apart."""
+    bits = int(owner[-1]).bit_length() if len(owner) else 0
+    key = hashes >> np.uint64(bits)
+    if bits:
+        key |= owner.astype(np.uint64) << np.uint64(64 - bits)
+    order = np.argsort(key)
+    key, sorted_ = key[order], hashes[order]
+    if ((key[1:] == key[:-1]) & (sorted_[1:] < sorted_[:-1])).any():
+        return np.lexsort((hashes, owner))
+    return order
+
+
+def _by_rank(owner: np.ndarray, nth: np.ndarray, rank: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Order by owner, then rank, then place ``nth`` in the owner's run: one sort of the three packed into a word."""
+    few, many = (int(x.max()).bit_length() if len(x) else 0 for x in (nth, rank))
+    if few + many + (int(owner[-1]).bit_length() if len(owner) else 0) > 63:
+        return np.lexsort((nth, rank, owner))
+    key = np.sort((owner << (few + many)) | (rank.astype(np.int64) << few) | nth)
+    return begin[key >> (few + many)] + (key & ((1 << few) - 1))
+
+
 def prefix_length(n: np.ndarray) -> np.ndarray:
     """Rarest words of which two copies share at least one."""
     return n - -(-PERCENT * n // 100) + 1
@@ -85,7 +112,7 @@ def scan(docs: DataFrame, often: np.ndarray) -> DataFrame:
     The rarest words come in order of rarity, ties by hash. Of a set's places in a slice
     only the first by id, line and text hash has its words, in whatever order rows are read.
     """
-    sent = send(docs.sparkSession, often)
+    sent = send(docs.sparkSession, np.unique(often, return_inverse=True)[1])
     kind = pa.list_(
         pa.struct({"line": pa.int32(), "s": pa.int64(), "n": pa.int32(), "low": pa.int64(), "high": pa.int64(), "prefix": pa.list_(pa.int64())})
     )
@@ -100,8 +127,8 @@ def scan(docs: DataFrame, often: np.ndarray) -> DataFrame:
             np.cumsum(mix(hashes ^ np.uint64(0x5DEECE66D1234567)), out=sums[1:])
             sets = mix(sums[begin[1:]] - sums[begin[:-1]] + n.astype(np.uint64))
             owner = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((hashes, rare[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)], owner))
-            nth = np.arange(len(hashes)) - begin[owner]
+            nth = np.arange(len(hashes)) - begin[owner]  # the hashes of a line are sorted
+            order = _by_rank(owner, nth, rare[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)], begin)
             used = np.flatnonzero(n)  # lines with words
             row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[used]
             number = used - ends[row]
@@ -129,23 +156,56 @@ def scan(docs: DataFrame, often: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "ord", "th", "text").mapInArrow(run, SCANNED)
 
 
+def _sieve(ord_: np.ndarray, th: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The bit of a line in a filter of ``SIEVE`` bits."""
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    place = mix(ord_.astype(np.int64).view(np.uint64) + line.astype(np.uint64) * odd)
+    return (mix(place ^ th.astype(np.int64).view(np.uint64)) & np.uint64(SIEVE - 1)).astype(np.int64)
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``cid, words`` (packed, sorted) of the lines in ``wanted`` (ord, th, places: line and cid)."""
+    """``cid, words`` (packed, sorted) of the lines in ``wanted`` (ord, th, line, cid).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Words are taken where texts are read, of the lines that pass a filter of fixed size;
+    what passes it by chance goes in the join with ``wanted``.
+    """
+
+    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"h": pa.array(_sieve(*(c.to_numpy() for c in batch.columns)))})
+
+    marks = wanted.select("ord", "th", "line").mapInArrow(bits_of, "h long")
+    marks = marks.groupBy(F.shiftright("h", 15).alias("page")).agg(F.expr("bitmap_construct_agg(h & 32767)").alias("bits"))
+    pages = np.zeros((SIEVE >> 15, 4096), dtype=np.uint8)
+    for found in marks.collect():  # at most SIEVE / 32768 rows
+        pages[found["page"]] = np.frombuffer(found["bits"], dtype=np.uint8)
+    sent = send(docs.sparkSession, pages.ravel())
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent()
         for batch in slices(batches, "text"):
-            cids, texts = [], []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
-                split = text.split("\n")
-                for place in places:
-                    cids.append(place["cid"])
-                    texts.append(split[place["line"]])
-            hashes, begin = line_sets(pa.array(texts, pa.large_string()))
-            sets = [hashes[begin[i] : begin[i + 1]].tobytes() for i in range(len(texts))]
-            yield pa.RecordBatch.from_pydict({"cid": pa.array(cids, pa.int64()), "words": pa.array(sets, pa.binary())})
+            lines, ends = split_lines(batch.column("text"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            number = np.arange(len(row)) - ends[row]
+            ids, texts = (batch.column(c).to_numpy()[row] for c in ("ord", "th"))
+            h = _sieve(ids, texts, number)
+            likely = np.flatnonzero(bits[h >> 3] >> (h & 7).astype(np.uint8) & 1)
+            hashes, begin = line_sets(lines.take(pa.array(likely)))
+            sets = [hashes[begin[i] : begin[i + 1]].tobytes() for i in range(len(likely))]
+            yield pa.RecordBatch.from_pydict(
+                {"ord": pa.array(ids[likely]), "th": pa.array(texts[likely])}
+                | {"line": pa.array(number[likely].astype(np.int32)), "words": pa.array(sets, pa.binary())}
+            )
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of a row meet in one task; one of them is enough
+        for batch in batches:
+            cid = batch.column("cid").to_pylist()
+            yield batch.take(pa.array([i for i, x in enumerate(cid) if x not in seen and not seen.add(x)], pa.int64()))
 
-    joined = docs.select("ord", "th", "text").join(wanted, ["ord", "th"])
-    return joined.select("text", "places").mapInArrow(run, "cid long, words binary")
+    likely = docs.select("ord", "th", "text").mapInArrow(gather, "ord long, th long, line int, words binary")
+    joined = likely.join(wanted.select("ord", "th", "line", "cid"), ["ord", "th", "line"]).select("cid", "words")
+    return joined.mapInArrow(once, "cid long, words binary")
 
 
 def _copies(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -180,50 +240,58 @@ ENTRY = ("cid", "n", "pos", "low", "high")
 WORTH = 0.02
 
 
-def _resolve(rows: DataFrame, entries: DataFrame, classes: DataFrame) -> DataFrame:
+def _resolve(rows: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """``cid`` of every set that is a copy of an earlier one.
 
-    ``entries`` (token, cid, n, pos, low, high) is the prefix index. In each of its lists
-    the sets are compared with the earliest one, and those that are left with the earliest
-    of them, as long as that settles many: a group of copies costs a line for each set.
-    What is still open then meets all earlier sets of its lists that the filters leave.
+    The prefixes of ``sets`` (cid, n, low, high, prefix) make an index with a list for each
+    token. In each list the sets are compared with the earliest one, and those that are
+    left with the earliest of them, as long as that settles many: a group of copies costs
+    a line for each set. What is still open then meets all earlier sets of its lists that
+    the filters leave. The index is built for one slice of the tokens at a time, so that
+    a part of it is all that is shuffled at once.
     """
-    reach = F.expr(f"{100 + PERCENT} * (n - pos) div {PERCENT} - n")
-    sized = entries.withColumn("reach", reach)
-    lists = sized.groupBy("token").agg(F.count("*").alias("many"), F.min("n").alias("least"), F.max("reach").alias("most"))
-    lists = cut(lists.filter("many > 1").drop("many"))
-    kept = sized.join(lists, "token").filter("reach >= least AND n <= most").select("token", *ENTRY)
-    index = cut(kept)
-    forget(lists)
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
+    all_ = sets.count()
+    parts = max(1, min(SLICES, all_ // SLICE_SETS))
+
+    def entries(of: DataFrame, part: int) -> DataFrame:
+        spread = of.select("cid", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
+        return spread.filter(F.pmod("token", F.lit(parts)) == part).select("token", *ENTRY)
+
+    def led(part: int) -> DataFrame:
+        first = Window.partitionBy("token").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        with_first = entries(open_, part).withColumn("l", F.first(F.struct(*ENTRY)).over(first))
+        return with_first.select(*ENTRY, *[F.col(f"l.{c}").alias(f"{c}_") for c in ENTRY])
+
+    def met(part: int) -> DataFrame:
+        early = entries(sets, part).select("token", *[F.col(c).alias(f"{c}_") for c in ENTRY])
+        return entries(open_, part).join(early, "token")
+
+    def settle(meet) -> DataFrame:
+        """Open sets that are copies of one of the earlier sets they meet in a slice."""
+        fit = [
+            cut(meet(part).filter("cid_ < cid").filter(FITS).select(F.col("cid").alias("late"), F.col("cid_").alias("early")).distinct())
+            for part in range(parts)
+        ]
+        pairs = cut(reduce(DataFrame.union, fit).distinct()) if parts > 1 else fit[0]
         asked = pairs.select(F.col("late").alias("cid")).union(pairs.select("early")).distinct()
-        wanted = classes.join(asked, "cid", "left_semi").groupBy("ord", "th")
-        return _sets_of(rows, wanted.agg(F.collect_list(F.struct("line", "cid")).alias("places")))
-
-    def settle(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        sets = cut(sets_of(pairs))
-        found = cut(_copies(pairs, sets).select(F.col("late").alias("cid")).distinct())
-        forget(sets, pairs)
+        wanted = cut(classes.join(asked, "cid", "left_semi").select("ord", "th", "line", "cid"))
+        full = cut(_sets_of(rows, wanted))
+        found = cut(_copies(pairs, full).select(F.col("late").alias("cid")).distinct())
+        forget(full, wanted, pairs, *fit)
         return found
 
-    open_, done = index, None
+    open_, left, done = sets, all_, None
     while True:
-        lead = open_.groupBy("token").agg(F.min(F.struct(*ENTRY)).alias("l"), F.count("*").alias("many")).filter("many > 1")
-        lead = lead.select("token", *[F.col(f"l.{c}").alias(f"{c}_") for c in ENTRY])
-        met = open_.join(lead, "token").filter("cid <> cid_").filter(FITS)
-        found = settle(met.select(F.col("cid").alias("late"), F.col("cid_").alias("early")).distinct())
-        done = found if done is None else cut(done.union(found))
-        n, all_ = found.count(), open_.select("cid").distinct().count()
+        found = settle(led)
+        n = found.count()
         last, open_ = open_, cut(open_.join(found, "cid", "left_anti"))
-        if last is not index:
+        if last is not sets:
             forget(last)
-        if n <= WORTH * all_:
+        done = found if done is None else done.union(found)
+        if n <= WORTH * left:
             break
-    early = index.select("token", *[F.col(c).alias(f"{c}_") for c in ENTRY])
-    met = open_.join(early, "token").filter("cid_ < cid").filter(FITS)
-    return cut(done.union(settle(met.select(F.col("cid").alias("late"), F.col("cid_").alias("early")).distinct())))
+        left -= n
+    return cut(done.union(settle(met)))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -245,13 +313,18 @@ def _repeated_lines(rows: DataFrame) -> DataFrame:
     scanned = cut(scan(rows, rarity(rows)))
     lines = scanned.select("ord", "th", F.explode("lines").alias("l")).select("ord", "th", "l.*")
     firsts = lines.groupBy("s").agg(F.min(F.struct("ord", "line", "th")).alias("f")).select("s", "f.*")
-    numbered = prefix_sums(in_ranges(firsts, F.col("ord"), F.col("line"), F.col("s")), F.lit(0))
-    classes = cut(numbered.select("row.*", F.col("rank").cast("long").alias("cid")))
+    ranged = in_ranges(firsts, F.col("ord"), F.col("line"), F.col("s"))
+    classes = cut(prefix_sums(ranged, F.lit(0)).select("row.*", F.col("rank").cast("long").alias("cid")))
+    forget(ranged)
     first = classes.select("s", "ord", "line", "th", "cid")
     # a slice gives a set's words at its first place there, so the first place of all always has them
     chosen = lines.filter(F.size("prefix") > 0).join(first, ["s", "ord", "line", "th"]).dropDuplicates(["s", "ord", "line", "th"])
-    entries = chosen.select("cid", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
-    late = _resolve(rows, entries, classes)
+    sets = cut(chosen.select("cid", "n", "low", "high", "prefix"))
+    places = cut(scanned.select("doc_id", "ord", "th", F.expr("transform(lines, l -> struct(l.line, l.s))").alias("lines")))
+    forget(scanned)
+    lines = places.select("ord", "th", F.explode("lines").alias("l")).select("ord", "th", "l.*")
+    late = _resolve(rows, sets, classes)
+    forget(sets)
     # every occurrence but the first goes, and the first where an earlier set is similar
     marked = cut(
         classes.select("s", F.col("ord").alias("o"), F.col("line").alias("l"), "cid").join(
@@ -265,7 +338,7 @@ def _repeated_lines(rows: DataFrame) -> DataFrame:
         .groupBy("ord", "th")
         .agg(F.array_sort(F.collect_set("line")).alias("removed_lines"))
     )
-    return scanned.select("doc_id", "ord", "th", F.size("lines").cast("long").alias("n_lines")).join(
+    return places.select("doc_id", "ord", "th", F.size("lines").cast("long").alias("n_lines")).join(
         gone, ["ord", "th"], "left"
     ).withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>")))
 

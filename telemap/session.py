@@ -14,6 +14,8 @@ _WRITTEN: list[list[DataFrame]] = []
 #: bytes of an Arrow batch that goes to a Python worker inside ``settled``, at most
 BATCH_BYTES = 16 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: whether a query's shuffle files go when it ends, and not when the driver collects its garbage
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def session(app: str = "telemap", master: str | None = None, **conf: str) -> SparkSession:
@@ -73,11 +75,18 @@ def cut(df: DataFrame) -> DataFrame:
 
     Used between rounds of iterative jobs: the table survives lost executors, the
     next round plans against a plain scan of known size, and no constraints pile
-    up in the optimiser as they do over chained checkpoints.
+    up in the optimiser as they do over chained checkpoints. The shuffles that made it are
+    deleted once it is written.
     """
-    path = scratch_path(df.sparkSession, "cut")
-    df.write.option("compression", "zstd").parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    usual = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, usual)
+    table = spark.read.schema(df.schema).parquet(path)
     table._cut_path = path
     if _WRITTEN:
         _WRITTEN[-1].append(table)

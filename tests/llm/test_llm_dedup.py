@@ -119,6 +119,27 @@ def test_lines_read_in_any_order(spark, ids):
     assert sum(len(removed) for *_, removed in gone) == 3
 
 
+def test_lines_by_slices_of_the_tokens(spark, monkeypatch):
+    """The index in slices finds the same lines; copies of rows are fetched once."""
+    monkeypatch.setattr(L, "SLICE_SETS", 1)
+    docs = [d for d in odd_documents() if d[0] != 14]
+    found = L.repeated_lines(frame(spark, docs)).collect()
+    assert sorted(((r["doc_id"], r["n_lines"], r["removed_lines"]) for r in found), key=str) == brute.repeated_lines(docs)
+
+
+def test_packed_orders_equal_lexsort():
+    rng = np.random.default_rng(3)
+    owner = np.sort(rng.integers(0, 90, 3000))
+    close = np.uint64(5 << 40) + rng.integers(0, 30, 3000).astype(np.uint64)  # the packed bits do not tell these apart
+    for hashes in (rng.integers(0, 1 << 63, 3000).astype(np.uint64), close, close[:0]):
+        at = owner[: len(hashes)]
+        assert (hashes[L._by_owner(at, hashes)] == hashes[np.lexsort((hashes, at))]).all()
+    begin = np.searchsorted(owner, np.arange(91))
+    nth, rank = np.arange(3000) - begin[owner], rng.integers(0, 9, 3000)
+    assert (L._by_rank(owner, nth, rank, begin) == np.lexsort((nth, rank, owner))).all()
+    assert (L._by_rank(owner, nth, rank + (1 << 60), begin) == np.lexsort((nth, rank, owner))).all()
+
+
 def test_prefix_is_long_enough():
     for n in range(1, 60):
         for m in range(n, 60):
