@@ -115,6 +115,27 @@ def test_svd_in_tiles_equals_svd_in_one(spark, monkeypatch):
     assert np.allclose(one, many, atol=1e-7)
 
 
+def test_rows_of_the_sketch_meet_each_slab_once(spark, monkeypatch):
+    """Rows lie in one slab, long ones are dealt by column, and products come out whole."""
+    rng = np.random.default_rng(3)
+    m = np.abs(rng.standard_normal((40, 25))) * (rng.random((40, 25)) < 0.2)
+    m[7] = 1.0
+    sketch = spark.createDataFrame([(f"c{j}", [1.0, float(j)]) for j in range(25)], "id string, vec array<double>")
+    for cells, split in ((30, False), (10, True)):
+        monkeypatch.setattr(reduce, "BLOCK_CELLS", 2 * cells)
+        matrix = reduce.TripleMatrix(triples(spark, m), 2)
+        assert matrix.slabs > 4 and matrix.split == split
+        want = m @ np.stack((np.ones(25), np.arange(25.0)), axis=1)
+        held = matrix._product(sketch, "cols", "rows").count()
+        assert held == (m.any(axis=1)).sum() or split
+        got = {r["id"]: r["vec"] for r in matrix.times(sketch).collect()}
+        folded = {r["id"]: r["vec"] for r in matrix.folded_times(sketch).collect()}
+        assert len(got) == m.any(axis=1).sum() and len(folded) == 25
+        for j in range(25):
+            assert np.allclose(folded[f"c{j}"], (m.T @ want)[j])
+        assert np.allclose(sorted(map(tuple, got.values())), sorted(map(tuple, want[m.any(axis=1)])))
+
+
 def test_folded_vectors_equal_explicit_product(spark):
     rng = np.random.default_rng(4)
     m = np.abs(rng.standard_normal((50, 20))) * (rng.random((50, 20)) < 0.3)
@@ -262,3 +283,14 @@ def test_descent_of_few_rows(spark):
         rows = matrix_rows(spark, np.eye(6)[:n] + 0.1) if n else spark.createDataFrame([], "id long, vec array<double>")
         exact = sorted(map(tuple, neighbors.knn_cosine(rows, 3).select("id", "neighbor", "dist").collect()))
         assert sorted(map(tuple, neighbors.knn_cosine(rows, 3, exact=False).select("id", "neighbor", "dist").collect())) == exact
+
+
+def test_transport_with_next_to_no_entropy():
+    """A cloud of one point takes all mass, whatever rounding leaves of its cost to itself."""
+    rng = np.random.default_rng(9)
+    vec = rng.standard_normal((12, 3)) * 5
+    w = rng.random(12)
+    cloud = transport.Cloud(vec.mean(axis=0)[None], np.ones(1), 5e-18)
+    got = transport._solve_batch(w, vec, np.array([0, 5]), cloud, 50)
+    for row, part in zip(got, (slice(0, 5), slice(5, 12))):
+        assert np.allclose(row, np.average(vec[part], axis=0, weights=w[part]) - cloud.points[0])
