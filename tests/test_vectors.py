@@ -290,7 +290,7 @@ def test_transport_with_next_to_no_entropy():
     rng = np.random.default_rng(9)
     vec = rng.standard_normal((12, 3)) * 5
     w = rng.random(12)
-    cloud = transport.Cloud(vec.mean(axis=0)[None], np.ones(1), 5e-18)
+    cloud = transport.Cloud(vec.mean(axis=0)[None], np.ones(1), 3e-18)
     got = transport._solve_batch(w, vec, np.array([0, 5]), cloud, 50)
     for row, part in zip(got, (slice(0, 5), slice(5, 12))):
         assert np.allclose(row, np.average(vec[part], axis=0, weights=w[part]) - cloud.points[0])
