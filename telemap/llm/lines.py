@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemap.llm.rows import in_ranges, keyed, prefix_sums, send
+from telemap.llm.rows import in_ranges, keyed, send
 from telemap.llm.words import FOLDED, mix, slices, words
 from telemap.session import cut, forget, settled
 
@@ -22,13 +24,19 @@ COUNTERS = 1 << 18
 SIEVE = 1 << 23
 #: the index is built for so many slices of the tokens, one after the other, and for fewer where a slice would hold less than SLICE_SETS sets
 SLICES, SLICE_SETS = 4, 50_000
+#: entries of the index that a task holds at once, about, and pairs it looks at at once
+BIN, CHUNK = 200_000, 1 << 20
+#: a list of more than LONG entries is first compared with its LEADERS earliest sets
+LONG, LEADERS = 1 << 14, 256
+#: counters that travel as one record
+PAGE = 4096
 
 
 def split_lines(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All lines of a batch of texts, end to end, and where those of each text begin."""
-    parts = [(text or "").split("\n") for text in column.to_pylist()]
-    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-    return pa.array([line for p in parts for line in p], pa.large_string()), ends
+    parts = pc.split_pattern(column.cast(pa.large_string()).fill_null(""), "\n")
+    ends = np.concatenate(([0], np.cumsum(parts.value_lengths().to_numpy()))).astype(np.int64)
+    return parts.flatten(), ends
 
 
 def line_sets(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,14 +86,22 @@ def rarity(docs: DataFrame) -> np.ndarray:
         for batch in slices(batches, 0):
             found = words(batch.column(0), FOLDED).hashes
             total += np.bincount((found & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"counter": pa.array(some.astype(np.int32)), "n": pa.array(total[some])})
+        pages = total.reshape(-1, PAGE)
+        used = np.flatnonzero(pages.any(axis=1))
+        yield pa.RecordBatch.from_pydict({"page": pa.array(used.astype(np.int32)), "n": pa.array([pages[i].tobytes() for i in used], pa.binary())})
 
-    summed = docs.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    out = np.zeros(COUNTERS, dtype=np.int64)
-    for row in summed.toLocalIterator():  # at most COUNTERS rows
-        out[row["counter"]] = row["n"]
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}  # at most COUNTERS / PAGE
+        for batch in batches:
+            for page, n in zip(batch.column("page").to_pylist(), batch.column("n")):
+                sums[page] = sums.get(page, 0) + np.frombuffer(n.as_buffer(), dtype=np.int64)
+        yield pa.RecordBatch.from_pydict({"page": pa.array(list(sums), pa.int32()), "n": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+    counted = docs.select("text").mapInArrow(count, "page int, n binary")
+    out = np.zeros((COUNTERS // PAGE, PAGE), dtype=np.int64)
+    for row in counted.repartition("page").mapInArrow(add, "page int, n binary").toLocalIterator():  # at most COUNTERS / PAGE rows
+        out[row["page"]] = np.frombuffer(row["n"], dtype=np.int64)
+    return out.ravel()
 
 
 def parities(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,18 +119,33 @@ def parities(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-SCANNED = "doc_id long, ord long, th long, lines array<struct<line:int,s:long,n:int,low:long,high:long,prefix:array<long>>>"
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit values of all rows, end to end, and how many each row has."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+    return np.frombuffer(values.tobytes(), dtype=np.uint64), np.diff(ends) >> 3
+
+
+def _packed(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Runs of 64-bit values as binary."""
+    buffers = [None, pa.py_buffer((begin * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))]
+    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, buffers)
+
+
+SCANNED = "doc_id long, ord long, th long, lines array<struct<line:int,s:long,n:int,low:long,high:long,prefix:binary>>"
 
 
 def scan(docs: DataFrame, often: np.ndarray) -> DataFrame:
     """For each row of a ``keyed`` table its lines with words: number, set hash, set size, rarest words.
 
-    The rarest words come in order of rarity, ties by hash. Of a set's places in a slice
+    The rarest words come packed, in order of rarity, ties by hash. Of a set's places in a slice
     only the first by id, line and text hash has its words, in whatever order rows are read.
     """
     sent = send(docs.sparkSession, np.unique(often, return_inverse=True)[1])
     kind = pa.list_(
-        pa.struct({"line": pa.int32(), "s": pa.int64(), "n": pa.int32(), "low": pa.int64(), "high": pa.int64(), "prefix": pa.list_(pa.int64())})
+        pa.struct({"line": pa.int32(), "s": pa.int64(), "n": pa.int32(), "low": pa.int64(), "high": pa.int64(), "prefix": pa.binary()})
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +170,8 @@ def scan(docs: DataFrame, often: np.ndarray) -> DataFrame:
             fresh = np.zeros(len(n), dtype=bool)
             fresh[used[placed[first]]] = True
             keep = (nth < prefix_length(n)[owner]) & fresh[owner]
-            rest = hashes[order][keep].view(np.int64)
             many = np.bincount(owner[keep], minlength=len(n))[used]
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), pa.array(rest))
+            prefix = _packed(hashes[order][keep], np.concatenate(([0], np.cumsum(many))))
             low, high = parities(hashes, begin)
             entries = pa.StructArray.from_arrays(
                 [pa.array(number.astype(np.int32)), pa.array(sets[used].view(np.int64)), pa.array(n[used].astype(np.int32))]
@@ -163,6 +193,15 @@ def _sieve(ord_: np.ndarray, th: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (mix(place ^ th.astype(np.int64).view(np.uint64)) & np.uint64(SIEVE - 1)).astype(np.int64)
 
 
+def _bits(marks: DataFrame) -> np.ndarray:
+    """``SIEVE`` bits, packed, those set that ``marks`` (h) has."""
+    paged = marks.groupBy(F.shiftright("h", 15).alias("page")).agg(F.expr("bitmap_construct_agg(h & 32767)").alias("bits"))
+    pages = np.zeros((SIEVE >> 15, 4096), dtype=np.uint8)
+    for found in paged.collect():  # at most SIEVE / 32768 rows
+        pages[found["page"]] = np.frombuffer(found["bits"], dtype=np.uint8)
+    return pages.ravel()
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``cid, words`` (packed, sorted) of the lines in ``wanted`` (ord, th, line, cid).
 
@@ -174,12 +213,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"h": pa.array(_sieve(*(c.to_numpy() for c in batch.columns)))})
 
-    marks = wanted.select("ord", "th", "line").mapInArrow(bits_of, "h long")
-    marks = marks.groupBy(F.shiftright("h", 15).alias("page")).agg(F.expr("bitmap_construct_agg(h & 32767)").alias("bits"))
-    pages = np.zeros((SIEVE >> 15, 4096), dtype=np.uint8)
-    for found in marks.collect():  # at most SIEVE / 32768 rows
-        pages[found["page"]] = np.frombuffer(found["bits"], dtype=np.uint8)
-    sent = send(docs.sparkSession, pages.ravel())
+    sent = send(docs.sparkSession, _bits(wanted.select("ord", "th", "line").mapInArrow(bits_of, "h long")))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent()
@@ -229,69 +263,229 @@ def _copies(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("late", "early", "a", "b").mapInArrow(run, "late long, early long")
 
 
-#: of sets that first share a word at places pos and at, and differ in the bits that low and high count
-FITS = (
-    f"100 * least(n, n_) >= {PERCENT} * greatest(n, n_) AND "
-    f"{100 + PERCENT} * least(n - pos, n_ - pos_) >= {PERCENT} * (n + n_) AND "
-    f"{100 + PERCENT} * (bit_count(low ^ low_) + bit_count(high ^ high_)) <= {100 - PERCENT} * (n + n_)"
-)
-ENTRY = ("cid", "n", "pos", "low", "high")
-#: leaders are asked for again while a round settles at least this share of the open sets
-WORTH = 0.02
+ENTRY = {"token": np.uint64, "cid": np.int64, "low": np.uint64, "high": np.uint64, "n": np.int32, "pos": np.int32, "asked": np.bool_}
+BINNED = ", ".join(["bin int", *(f"{c} binary" for c in ENTRY)])
+
+
+def _dealt(sets: DataFrame, parts: int, part: int, bins: int, tokens=None) -> DataFrame:
+    """Entries of the prefix index of ``sets`` (cid, n, low, high, prefix, asked) in one slice, packed by ``bin``.
+
+    ``tokens`` are the bits of a filter that their tokens pass.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = tokens() if tokens else None
+        for batch in slices(batches, "prefix", 2 << 20):
+            own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "low", "high", "n", "asked")}
+            token, size = _unpacked(batch.column("prefix"))
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            keep = token % np.uint64(parts) == np.uint64(part)
+            if bits is not None:
+                h = (token & np.uint64(SIEVE - 1)).astype(np.int64)
+                keep &= (bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
+            keep = np.flatnonzero(keep)
+            bin_ = (token[keep] // np.uint64(parts) % np.uint64(bins)).astype(np.int32)
+            order = np.argsort(bin_, kind="stable")
+            keep, bin_ = keep[order], bin_[order]
+            first = np.flatnonzero(np.diff(bin_, prepend=-1))
+            ends = np.append(first, len(bin_))
+            values = {"token": token[keep], "pos": pos[keep]} | {c: x[row[keep]] for c, x in own.items()}
+            values = {c: values[c].view(t) if np.dtype(t) == np.uint64 else values[c].astype(t) for c, t in ENTRY.items()}
+            yield pa.RecordBatch.from_pydict(
+                {"bin": pa.array(bin_[first])}
+                | {c: pa.array([x[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary()) for c, x in values.items()}
+            )
+
+    return sets.select("cid", "n", "low", "high", "prefix", "asked").mapInArrow(spread, BINNED)
+
+
+def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Entries of one bin after the other, from rows in the order of bins."""
+    held, now = [], None
+    for batch in chain(batches, [None]):
+        if batch is None or batch.num_rows:
+            bins = [None] if batch is None else batch.column("bin").to_pylist()
+            for i, bin_ in enumerate(bins):
+                if bin_ != now and held:
+                    yield {c: np.frombuffer(b"".join(h[c] for h in held), dtype=t) for c, t in ENTRY.items()}
+                    held = []
+                now = bin_
+                if batch is not None:
+                    held.append({c: batch.column(c)[i].as_py() for c in ENTRY})
+
+
+class _Lists:
+    """Entries of a bin in the order of their lists and, inside one, of the sizes of their sets."""
+
+    def __init__(self, entries: dict[str, np.ndarray], asked_only: bool) -> None:
+        order = np.lexsort((entries["n"], entries["token"]))
+        token = entries["token"][order]
+        start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        size = np.diff(np.append(start, len(token)))
+        use = size > 1
+        if asked_only:
+            use &= np.add.reduceat(entries["asked"][order].astype(np.int64), start) > 0
+        order = order[np.repeat(use, size)]
+        self.size = size[use]
+        self.start = np.cumsum(self.size) - self.size
+        self.cid, self.low, self.high, self.asked = (entries[c][order] for c in ("cid", "low", "high", "asked"))
+        self.n, pos = entries["n"][order].astype(np.int64), entries["pos"][order]
+        #: the largest partner that a place leaves: (100 + PERCENT) * (n - pos) >= PERCENT * (n + m)
+        self.reach = (100 + PERCENT) * (self.n - pos) // PERCENT - self.n
+        self.asked_only = asked_only
+
+    def fitting(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``late, early, differ`` of those places that can be similar, which differ in so many bits at least."""
+        n, m = self.n[i], self.n[j]
+        fit = (self.reach[i] >= m) & (self.reach[j] >= n) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+        if self.asked_only:
+            fit &= np.where(self.cid[i] > self.cid[j], self.asked[i], self.asked[j])
+        i, j, n = i[fit], j[fit], (n + m)[fit]
+        differ = np.bitwise_count(self.low[i] ^ self.low[j]).astype(np.int64) + np.bitwise_count(self.high[i] ^ self.high[j])
+        fit = ((100 + PERCENT) * differ <= (100 - PERCENT) * n) & (self.cid[i] != self.cid[j])
+        a, b = self.cid[i[fit]], self.cid[j[fit]]
+        return np.maximum(a, b), np.minimum(a, b), differ[fit]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """``fitting`` of all pairs in lists of up to LONG entries: each with the smaller sets that its place leaves."""
+        r = np.repeat(np.arange(len(self.size)), self.size)
+        wide = int(self.n.max(initial=0)) + 2
+        key = r * wide + self.n
+        low = np.searchsorted(key, r * wide + -(-PERCENT * self.n // 100), "left")
+        high = np.searchsorted(key, r * wide + np.clip(self.reach, -1, self.n), "right")
+        many = np.maximum(np.minimum(high, np.arange(len(r))) - low, 0)
+        many[np.repeat(self.size > LONG, self.size)] = 0
+        ends, at = np.cumsum(many), 0
+        while at < len(many):
+            to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")), at + 1)
+            mine = many[at:to]
+            i = np.repeat(np.arange(at, to), mine)
+            yield self.fitting(i, np.arange(len(i)) - np.repeat(np.cumsum(mine) - mine - low[at:to], mine))
+            at = to
+
+    def long_pairs(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """``fitting`` of longer lists: all with the earliest sets, or with those that are asked for."""
+        for k in np.flatnonzero(self.size > LONG):
+            every = np.arange(self.start[k], self.start[k] + self.size[k])
+            if self.asked_only:
+                chosen = every[self.asked[every]]
+            else:
+                chosen = every[np.argpartition(self.cid[every], LEADERS)[:LEADERS]]
+            for one in chosen:
+                for part in range(0, len(every), CHUNK):
+                    other = every[part : part + CHUNK]
+                    yield self.fitting(np.full(len(other), one), other)
+
+    def unmet(self) -> np.ndarray:
+        """Sets in longer lists, which have not met all of them."""
+        return np.unique(self.cid[np.repeat(self.size > LONG, self.size)])
+
+
+def _best(late: np.ndarray, early: np.ndarray, differ: np.ndarray, more: np.ndarray) -> list[np.ndarray]:
+    """Of the pairs of each later set the one that differs least, and whether there are more."""
+    order = np.lexsort((early, differ, late))
+    late, early, differ, more = (x[order] for x in (late, early, differ, more))
+    first = np.flatnonzero(np.diff(late, prepend=late[:1] - 1))
+    many = np.diff(np.append(first, len(late)))
+    more = more | (early != np.repeat(early[first], many))
+    return [late[first], early[first], differ[first], np.logical_or.reduceat(more, first) if len(first) else more]
+
+
+def _likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``late, early, more``: of the earlier sets that a set meets in a bin the likeliest, and whether there can be more."""
+    for entries in _bins(batches):
+        lists = _Lists(entries, False)
+        best = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.bool_)]
+        held, n = [best], 0
+        for late, early, differ in chain(lists.pairs(), lists.long_pairs()):
+            held.append([late, early, differ, np.zeros(len(late), dtype=np.bool_)])
+            n += len(late)
+            if n > CHUNK:
+                held, n = [_best(*(np.concatenate(x) for x in zip(*held)))], 0
+        late, early, _, more = _best(*(np.concatenate(x) for x in zip(*held)))
+        unmet = lists.unmet()
+        alone = np.setdiff1d(unmet, late)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "late": pa.array(np.concatenate((late, alone))),
+                "early": pa.array(np.concatenate((early, np.full(len(alone), -1)))),
+                "more": pa.array(np.concatenate((more | np.isin(late, unmet), np.ones(len(alone), dtype=bool)))),
+            }
+        )
+
+
+def _all_fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``late, early``: all pairs of a bin whose later set is asked for."""
+    for entries in _bins(batches):
+        lists = _Lists(entries, True)
+        seen = np.zeros((0, 2), dtype=np.int64)
+        for late, early, _ in chain(lists.pairs(), lists.long_pairs()):
+            seen = np.concatenate((seen, np.stack((late, early), axis=1)))
+            if len(seen) > CHUNK:
+                yield _two(seen)
+                seen = seen[:0]
+        yield _two(seen)
+
+
+def _two(pairs: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(pairs, axis=0)
+    return pa.RecordBatch.from_pydict({"late": pa.array(np.ascontiguousarray(pairs[:, 0])), "early": pa.array(np.ascontiguousarray(pairs[:, 1]))})
 
 
 def _resolve(rows: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """``cid`` of every set that is a copy of an earlier one.
 
     The prefixes of ``sets`` (cid, n, low, high, prefix) make an index with a list for each
-    token. In each list the sets are compared with the earliest one, and those that are
-    left with the earliest of them, as long as that settles many: a group of copies costs
-    a line for each set. What is still open then meets all earlier sets of its lists that
-    the filters leave. The index is built for one slice of the tokens at a time, so that
-    a part of it is all that is shuffled at once.
+    token, dealt in bins of tokens. A set is first compared with the likeliest of the earlier
+    sets that it meets in a bin, so that a group of copies costs a line for each set. Only
+    sets that this does not settle, and that met more, are compared with all that the filters
+    leave; the index then has the lists of their tokens alone. It is built for one slice of
+    the tokens at a time, so that a part of it is all that is shuffled at once.
     """
-    all_ = sets.count()
+    spark = sets.sparkSession
+    all_, many = sets.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)) / 8).first()
     parts = max(1, min(SLICES, all_ // SLICE_SETS))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bins = max(4 * tasks, int(many / parts / BIN))
 
-    def entries(of: DataFrame, part: int) -> DataFrame:
-        spread = of.select("cid", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
-        return spread.filter(F.pmod("token", F.lit(parts)) == part).select("token", *ENTRY)
-
-    def led(part: int) -> DataFrame:
-        first = Window.partitionBy("token").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        with_first = entries(open_, part).withColumn("l", F.first(F.struct(*ENTRY)).over(first))
-        return with_first.select(*ENTRY, *[F.col(f"l.{c}").alias(f"{c}_") for c in ENTRY])
-
-    def met(part: int) -> DataFrame:
-        early = entries(sets, part).select("token", *[F.col(c).alias(f"{c}_") for c in ENTRY])
-        return entries(open_, part).join(early, "token")
-
-    def settle(meet) -> DataFrame:
-        """Open sets that are copies of one of the earlier sets they meet in a slice."""
-        fit = [
-            cut(meet(part).filter("cid_ < cid").filter(FITS).select(F.col("cid").alias("late"), F.col("cid_").alias("early")).distinct())
+    def meet(of: DataFrame, how, schema: str, tokens=None) -> DataFrame:
+        met = [
+            cut(_dealt(of, parts, part, bins, tokens).repartition(tasks, "bin").sortWithinPartitions("bin").mapInArrow(how, schema))
             for part in range(parts)
         ]
-        pairs = cut(reduce(DataFrame.union, fit).distinct()) if parts > 1 else fit[0]
+        out = cut(reduce(DataFrame.union, met).distinct())
+        forget(*met)
+        return out
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        """Later sets that are copies of the earlier set of one of their pairs."""
         asked = pairs.select(F.col("late").alias("cid")).union(pairs.select("early")).distinct()
         wanted = cut(classes.join(asked, "cid", "left_semi").select("ord", "th", "line", "cid"))
         full = cut(_sets_of(rows, wanted))
         found = cut(_copies(pairs, full).select(F.col("late").alias("cid")).distinct())
-        forget(full, wanted, pairs, *fit)
+        forget(full, wanted)
         return found
 
-    open_, left, done = sets, all_, None
-    while True:
-        found = settle(led)
-        n = found.count()
-        last, open_ = open_, cut(open_.join(found, "cid", "left_anti"))
-        if last is not sets:
-            forget(last)
-        done = found if done is None else done.union(found)
-        if n <= WORTH * left:
-            break
-        left -= n
-    return cut(done.union(settle(met)))
+    first = meet(sets.withColumn("asked", F.lit(False)), _likeliest, "late long, early long, more boolean")
+    done = settle(first.filter("early >= 0").select("late", "early").distinct())
+    left = cut(first.filter("more").select(F.col("late").alias("cid")).distinct().join(done, "cid", "left_anti"))
+    forget(first)
+    if left.isEmpty():
+        return done
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, _ = _unpacked(batch.column(0))
+            yield pa.RecordBatch.from_pydict({"h": pa.array((token & np.uint64(SIEVE - 1)).astype(np.int64))})
+
+    own = cut(sets.join(left, "cid", "left_semi").withColumn("asked", F.lit(True)))
+    tokens = send(spark, _bits(own.select("prefix").mapInArrow(marks, "h long")))
+    open_ = sets.withColumn("asked", F.lit(False)).union(own)
+    rest = meet(open_, _all_fitting, "late long, early long", tokens)
+    more = settle(rest)
+    forget(rest, left, own)
+    return cut(done.union(more))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,25 +506,24 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def _repeated_lines(rows: DataFrame) -> DataFrame:
     scanned = cut(scan(rows, rarity(rows)))
     lines = scanned.select("ord", "th", F.explode("lines").alias("l")).select("ord", "th", "l.*")
-    firsts = lines.groupBy("s").agg(F.min(F.struct("ord", "line", "th")).alias("f")).select("s", "f.*")
-    ranged = in_ranges(firsts, F.col("ord"), F.col("line"), F.col("s"))
-    classes = cut(prefix_sums(ranged, F.lit(0)).select("row.*", F.col("rank").cast("long").alias("cid")))
-    forget(ranged)
-    first = classes.select("s", "ord", "line", "th", "cid")
     # a slice gives a set's words at its first place there, so the first place of all always has them
-    chosen = lines.filter(F.size("prefix") > 0).join(first, ["s", "ord", "line", "th"]).dropDuplicates(["s", "ord", "line", "th"])
-    sets = cut(chosen.select("cid", "n", "low", "high", "prefix"))
+    own = F.struct("ord", "line", "th", "n", "low", "high", "prefix")
+    firsts = cut(lines.filter("octet_length(prefix) > 0").groupBy("s").agg(F.min(own).alias("f")).select("s", "f.*"))
     places = cut(scanned.select("doc_id", "ord", "th", F.expr("transform(lines, l -> struct(l.line, l.s))").alias("lines")))
     forget(scanned)
+    ranged = in_ranges(firsts, F.col("ord"), F.col("line"), F.col("s"))
+    forget(firsts)
+    numbered = ranged.select("row.*", F.col("nth").alias("cid"))  # in the order of the ranges
+    classes, sets = numbered.select("s", "ord", "line", "th", "cid"), numbered.select("cid", "n", "low", "high", "prefix")
     lines = places.select("ord", "th", F.explode("lines").alias("l")).select("ord", "th", "l.*")
     late = _resolve(rows, sets, classes)
-    forget(sets)
     # every occurrence but the first goes, and the first where an earlier set is similar
     marked = cut(
         classes.select("s", F.col("ord").alias("o"), F.col("line").alias("l"), "cid").join(
             late.withColumn("late", F.lit(True)), "cid", "left"
         )
     )
+    forget(ranged)
     gone = (
         lines.select("s", "ord", "th", "line")
         .join(marked, "s")

@@ -106,6 +106,49 @@ def test_lines_of_odd_documents(spark):
     assert left[3] is not None and "word" not in left[3]
 
 
+def line_families():
+    """Families of lines that share rare words: versions of one line, and lines whose first leader is none of theirs."""
+    r, lines = random.Random(11), []
+    for family in range(4):
+        base = [f"f{family}w{k}" for k in range(20)]
+        lines.append(" ".join(base[:6] + [f"own{family}x{k}" for k in range(14)]))
+        for _ in range(40):
+            version = list(base)
+            for k in r.sample(range(20), r.randrange(4)):
+                version[k] = f"new{r.randrange(10**6)}"
+            lines.append(" ".join(version))
+    return lines
+
+
+@pytest.mark.parametrize("long, leaders, chunk", [(1 << 14, 256, 1 << 20), (8, 2, 64), (8, 2, 3)])
+def test_lines_of_families(spark, monkeypatch, long, leaders, chunk):
+    """Every copy of an earlier line is found, in short and in long lists, and few pairs are compared in full."""
+    asked, copies = [], L._copies
+
+    def counted(pairs, sets):
+        asked.append(pairs.count())
+        return copies(pairs, sets)
+
+    for name, value in (("LONG", long), ("LEADERS", leaders), ("CHUNK", chunk), ("_copies", counted)):
+        monkeypatch.setattr(L, name, value)
+    lines = line_families()
+    random.Random(5).shuffle(lines)
+    docs = [(i, "\n".join(lines[i * 7 : i * 7 + 7])) for i in range(-(-len(lines) // 7))]
+    found = L.repeated_lines(frame(spark, docs)).collect()
+    assert sorted(((r["doc_id"], r["n_lines"], r["removed_lines"]) for r in found), key=str) == brute.repeated_lines(docs)
+    sets = [set(x.split()) for x in lines]
+    similar = sum(100 * len(a & b) >= 75 * len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a != b)
+    if long > len(lines):
+        assert sum(asked) < similar / 2
+
+
+def test_rarity_counts_all_words(spark):
+    docs = [(1, "a b a"), (2, None), (3, "A\nc"), (4, "")]
+    often = L.rarity(frame(spark, docs).withColumn("ord", F.lit(0)))
+    hashes = W.words(pa.array(["a b c"]), W.FOLDED).hashes & np.uint64(L.COUNTERS - 1)
+    assert often[hashes.astype(np.int64)].tolist() == [3, 1, 1] and often.sum() == 5
+
+
 @pytest.mark.parametrize("ids", [[9, 5, 3, 8, -2], [None] * 5, [None, 5, 3, None, None]])
 def test_lines_read_in_any_order(spark, ids):
     """A line's first place can be read after later ones, here all in one slice."""
