@@ -23,11 +23,13 @@ COUNTERS = 1 << 18
 #: bits of the filter that lines pass before their words are shuffled; its size is fixed
 SIEVE = 1 << 23
 #: the index is built for so many slices of the tokens, one after the other, and for fewer where a slice would hold less than SLICE_SETS sets
-SLICES, SLICE_SETS = 4, 50_000
+SLICES, SLICE_SETS = 2, 50_000
 #: entries of the index that a task holds at once, about, and pairs it looks at at once
 BIN, CHUNK = 200_000, 1 << 20
 #: a list of more than LONG entries is first compared with its LEADERS earliest sets
 LONG, LEADERS = 1 << 14, 256
+#: a set that meets up to FEW earlier sets in a bin is compared with all of them at once, others with the likeliest first
+FEW = 4
 #: counters that travel as one record
 PAGE = 4096
 
@@ -382,35 +384,42 @@ class _Lists:
         return np.unique(self.cid[np.repeat(self.size > LONG, self.size)])
 
 
-def _best(late: np.ndarray, early: np.ndarray, differ: np.ndarray, more: np.ndarray) -> list[np.ndarray]:
-    """Of the pairs of each later set the one that differs least, and whether there are more."""
+def _best(late: np.ndarray, early: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the FEW + 1 different pairs of each later set that differ least, and which of them are its first."""
     order = np.lexsort((early, differ, late))
-    late, early, differ, more = (x[order] for x in (late, early, differ, more))
-    first = np.flatnonzero(np.diff(late, prepend=late[:1] - 1))
-    many = np.diff(np.append(first, len(late)))
-    more = more | (early != np.repeat(early[first], many))
-    return [late[first], early[first], differ[first], np.logical_or.reduceat(more, first) if len(first) else more]
+    new = np.append(True, (np.diff(late[order]) != 0) | (np.diff(early[order]) != 0))[: len(order)]
+    order = order[new]
+    first = np.append(True, np.diff(late[order]) != 0)[: len(order)]
+    start = np.flatnonzero(first)
+    nth = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return order[nth <= FEW], first[nth <= FEW]
 
 
 def _likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``late, early, more``: of the earlier sets that a set meets in a bin the likeliest, and whether there can be more."""
+    """``late, early, more``: earlier sets that a set meets in a bin; of more than FEW the likeliest, and that there are more."""
     for entries in _bins(batches):
         lists = _Lists(entries, False)
-        best = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.bool_)]
-        held, n = [best], 0
-        for late, early, differ in chain(lists.pairs(), lists.long_pairs()):
-            held.append([late, early, differ, np.zeros(len(late), dtype=np.bool_)])
-            n += len(late)
+        held, n = [(np.zeros(0, np.int64),) * 3], 0
+        for found in chain(lists.pairs(), lists.long_pairs()):
+            held.append(found)
+            n += len(found[0])
             if n > CHUNK:
-                held, n = [_best(*(np.concatenate(x) for x in zip(*held)))], 0
-        late, early, _, more = _best(*(np.concatenate(x) for x in zip(*held)))
-        unmet = lists.unmet()
+                held = [tuple(np.concatenate(x) for x in zip(*held))]
+                order, _ = _best(*held[0])
+                held, n = [tuple(x[order] for x in held[0])], 0
+        late, early, differ = (np.concatenate(x) for x in zip(*held))
+        order, first = _best(late, early, differ)
+        late, early = late[order], early[order]
+        start, unmet = np.flatnonzero(first), lists.unmet()
+        many = np.diff(np.append(start, len(late)))
+        more = np.repeat(many > FEW, many) | np.isin(late, unmet)
+        keep = first | ~more
         alone = np.setdiff1d(unmet, late)
         yield pa.RecordBatch.from_pydict(
             {
-                "late": pa.array(np.concatenate((late, alone))),
-                "early": pa.array(np.concatenate((early, np.full(len(alone), -1)))),
-                "more": pa.array(np.concatenate((more | np.isin(late, unmet), np.ones(len(alone), dtype=bool)))),
+                "late": pa.array(np.concatenate((late[keep], alone))),
+                "early": pa.array(np.concatenate((early[keep], np.full(len(alone), -1)))),
+                "more": pa.array(np.concatenate((more[keep], np.ones(len(alone), dtype=bool)))),
             }
         )
 
@@ -437,19 +446,19 @@ def _resolve(rows: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """``cid`` of every set that is a copy of an earlier one.
 
     The prefixes of ``sets`` (cid, n, low, high, prefix) make an index with a list for each
-    token, dealt in bins of tokens. A set is first compared with the likeliest of the earlier
-    sets that it meets in a bin, so that a group of copies costs a line for each set. Only
-    sets that this does not settle, and that met more, are compared with all that the filters
-    leave; the index then has the lists of their tokens alone. It is built for one slice of
+    token, dealt in bins of tokens. A set that meets few earlier sets in a bin is compared with
+    them, others with the likeliest one, so that a group of copies costs a few lines for each
+    set. Only sets that this does not settle, and that met more, are compared with all that the
+    filters leave; the index then has the lists of their tokens alone. It is built for one slice of
     the tokens at a time, so that a part of it is all that is shuffled at once.
     """
     spark = sets.sparkSession
     all_, many = sets.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)) / 8).first()
-    parts = max(1, min(SLICES, all_ // SLICE_SETS))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bins = max(4 * tasks, int(many / parts / BIN))
 
-    def meet(of: DataFrame, how, schema: str, tokens=None) -> DataFrame:
+    def meet(of: DataFrame, asked: int, how, schema: str, tokens=None) -> DataFrame:
+        parts = max(1, min(SLICES, asked // SLICE_SETS))
+        bins = max(4 * tasks, int(many / parts / BIN))
         met = [
             cut(_dealt(of, parts, part, bins, tokens).repartition(tasks, "bin").sortWithinPartitions("bin").mapInArrow(how, schema))
             for part in range(parts)
@@ -467,11 +476,12 @@ def _resolve(rows: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
         forget(full, wanted)
         return found
 
-    first = meet(sets.withColumn("asked", F.lit(False)), _likeliest, "late long, early long, more boolean")
+    first = meet(sets.withColumn("asked", F.lit(False)), all_, _likeliest, "late long, early long, more boolean")
     done = settle(first.filter("early >= 0").select("late", "early").distinct())
     left = cut(first.filter("more").select(F.col("late").alias("cid")).distinct().join(done, "cid", "left_anti"))
     forget(first)
-    if left.isEmpty():
+    n_left = left.count()
+    if not n_left:
         return done
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,7 +492,7 @@ def _resolve(rows: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     own = cut(sets.join(left, "cid", "left_semi").withColumn("asked", F.lit(True)))
     tokens = send(spark, _bits(own.select("prefix").mapInArrow(marks, "h long")))
     open_ = sets.withColumn("asked", F.lit(False)).union(own)
-    rest = meet(open_, _all_fitting, "late long, early long", tokens)
+    rest = meet(open_, n_left, _all_fitting, "late long, early long", tokens)
     more = settle(rest)
     forget(rest, left, own)
     return cut(done.union(more))
