@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from telemap.llm.rows import keyed, send
 from telemap.llm.words import slices
-from telemap.session import cut
+from telemap.session import cut, settled
 
 #: where the vocabulary files of the two tokenizers lie
 FOLDER = "/opt/tokenizers"
@@ -242,15 +242,25 @@ def token_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", folde
     return keyed(docs, key, text).mapInArrow(run, GROUPS)
 
 
-#: one row for each slice: its documents, its different id pairs, and the pair of each link
+#: pairs of a slice that lie in one row
+PAIR_ROWS = 4096
+#: a row for each document, with the place of each of its links among the pairs of its slice; then these pairs
 SLICES = (
-    "slice long, doc_id array<long>, ord array<long>, th array<long>, n_a array<long>, n_b array<long>, n_links array<long>,"
-    " digest array<string>, pairs array<long>, counts array<long>, links binary"
+    "slice long, doc_id long, ord long, th long, n_a long, n_b long, n_links long, digest string, links binary,"
+    " pairs array<long>, counts array<long>"
 )
 
 
 def _sliced(docs: DataFrame, folder: str) -> DataFrame:
     sent = send(docs.sparkSession, read_pair(folder))
+    kinds = {"digest": pa.string(), "links": pa.binary(), "pairs": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
+    schema = pa.schema([(c.split()[0], kinds.get(c.split()[0], pa.int64())) for c in SLICES.split(",")])
+
+    def rows(number: int, columns: dict) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        whole = {"slice": np.full(n, number)} | columns
+        arrays = [pa.array(whole[f.name], f.type) if f.name in whole else pa.nulls(n, f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = sent().load()
@@ -262,20 +272,21 @@ def _sliced(docs: DataFrame, folder: str) -> DataFrame:
             pairs, where, counts = np.unique(
                 (found.link_a << np.int64(31)) | found.link_b, return_inverse=True, return_counts=True
             )
-            row = {c: [batch.column(c).to_pylist()] for c in ("doc_id", "ord", "th")} | {
-                "n_a": [np.diff(found.a_at)],
-                "n_b": [np.diff(found.b_at)],
-                "n_links": [np.diff(found.group_at)],
-                "digest": [digests(found, table)],
-                "pairs": [pairs],
-                "counts": [counts],
-                "links": [where.astype(np.int32).tobytes()],
-            }
-            kinds = {"digest": pa.list_(pa.string()), "links": pa.binary()}
-            yield pa.RecordBatch.from_pydict(
-                {"slice": pa.array([number], pa.int64())}
-                | {c: pa.array(v, kinds.get(c, pa.list_(pa.int64()))) for c, v in row.items()}
+            links, at = where.astype(np.int32), found.group_at
+            yield rows(
+                number,
+                {c: batch.column(c) for c in ("doc_id", "ord", "th")}
+                | {
+                    "n_a": np.diff(found.a_at),
+                    "n_b": np.diff(found.b_at),
+                    "n_links": np.diff(at),
+                    "digest": digests(found, table),
+                    "links": [links[i:j].tobytes() for i, j in zip(at[:-1], at[1:])],
+                },
             )
+            cuts = range(0, len(pairs), PAIR_ROWS)
+            if len(cuts):
+                yield rows(number, {k: [x[i : i + PAIR_ROWS] for i in cuts] for k, x in (("pairs", pairs), ("counts", counts))})
             number += 1
 
     return docs.select("doc_id", "ord", "th", "text").mapInArrow(run, SLICES)
@@ -289,7 +300,8 @@ ALIGNED = (
 
 def pair_counts(sliced: DataFrame) -> DataFrame:
     """``pair, total, best``: links of the corpus with an id pair, and whether its B id has no commoner pair."""
-    pairs = sliced.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select("p.pairs", "p.counts")
+    packed = sliced.filter("pairs IS NOT NULL")
+    pairs = packed.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select("p.pairs", "p.counts")
     totals = pairs.groupBy(F.col("pairs").alias("pair")).agg(F.sum("counts").alias("total"))
     totals = cut(totals.withColumn("b", F.col("pair").bitwiseAND((1 << 31) - 1)))
     most = totals.groupBy("b").agg(F.max("total").alias("most"))
@@ -308,34 +320,31 @@ def align_tokenizers(docs: DataFrame, key: str = "doc_id", text: str = "text", f
     empty, or that a side does not give back byte by byte, have zeros and an empty digest.
 
     A slice of documents asks for the counts of its different pairs once, so the work of
-    the shuffle follows the different pairs of each slice and not the tokens.
+    the shuffle follows the different pairs of each slice and not the tokens. Answers are
+    rows that a task gets slice by slice, so memory follows the size of a slice.
     """
-    sliced = cut(_sliced(keyed(docs, key, text), folder))
-    asked = sliced.select("slice", F.explode("pairs").alias("pair"))
-    told = asked.join(pair_counts(sliced), "pair").groupBy("slice")
-    told = told.agg(F.collect_list(F.struct("pair", "total", "best")).alias("told"))
+    return settled(lambda: _aligned(cut(_sliced(keyed(docs, key, text), folder))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = {c: batch.column(c)[i].values for c in batch.schema.names if c not in ("slice", "links", "told")}
-                links = np.frombuffer(batch.column("links")[i].as_py(), dtype=np.int32)
-                total, best = np.zeros(len(links), np.int64), np.zeros(len(links), np.int64)
-                if len(links):
-                    rows = batch.column("told")[i].values
-                    order = np.argsort(rows.field("pair").to_numpy())
-                    total = rows.field("total").to_numpy()[order][links]
-                    best = rows.field("best").to_numpy(zero_copy_only=False)[order][links].astype(np.int64)
-                at = np.concatenate(([0], np.cumsum(one["n_links"].to_numpy())))
-
-                def summed(x: np.ndarray) -> pa.Array:
-                    sums = np.concatenate(([0], np.cumsum(x)))
-                    return pa.array(sums[at[1:]] - sums[at[:-1]], pa.int64())
-
-                yield pa.RecordBatch.from_pydict(
-                    {c: one[c] for c in ("doc_id", "ord", "th", "n_a", "n_b")}
-                    | {"n_groups": one["n_links"], "n_links": one["n_links"], "n_best": summed(best), "count_sum": summed(total)}
-                    | {"groups_sha256": one["digest"]}
-                )
-
-    return sliced.drop("pairs", "counts").join(told, "slice", "left").mapInArrow(run, ALIGNED)
+
+def _aligned(sliced: DataFrame) -> DataFrame:
+    asked = sliced.filter("pairs IS NOT NULL").select(F.col("slice").alias("to"), F.explode("pairs").alias("pair"))
+    told = asked.join(pair_counts(sliced), "pair").select("to", "pair", "total", "best")
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        told = told.sort_by("pair")
+        at = np.concatenate(([0], np.cumsum(docs.column("n_links").to_numpy())))
+        links = np.frombuffer(b"".join(docs.column("links").to_pylist()), dtype=np.int32)
+
+        def summed(column: str) -> pa.Array:
+            values = told.column(column).to_numpy().astype(np.int64)
+            sums = np.concatenate(([0], np.cumsum(values[links])))
+            return pa.array(sums[at[1:]] - sums[at[:-1]], pa.int64())
+
+        return pa.table(
+            {c: docs.column(c) for c in ("doc_id", "ord", "th", "n_a", "n_b")}
+            | {"n_groups": docs.column("n_links"), "n_links": docs.column("n_links"), "n_best": summed("best"), "count_sum": summed("total")}
+            | {"groups_sha256": docs.column("digest")}
+        )
+
+    docs = sliced.filter("pairs IS NULL").drop("pairs", "counts")
+    return docs.groupBy("slice").cogroup(told.groupBy("to")).applyInArrow(run, ALIGNED)

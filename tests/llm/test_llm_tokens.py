@@ -60,6 +60,18 @@ def test_no_rows(spark):
     assert T.align_tokenizers(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_answers_are_rows(spark, monkeypatch):
+    """No row of a plan holds all pairs of a slice, and slices of a few documents add up the same."""
+    monkeypatch.setattr(T, "SLICE", 50)
+    monkeypatch.setattr(T, "PAIR_ROWS", 3)
+    docs = spark.createDataFrame(ODD, "doc_id long, text string").repartition(2)
+    sliced = T.cut(T._sliced(T.keyed(docs), T.FOLDER))
+    assert sliced.filter("size(pairs) > 3 or (doc_id is not null and pairs is not null)").isEmpty()
+    aligned = T._aligned(sliced)
+    assert "collect_list" not in aligned._jdf.queryExecution().toString()
+    assert rows_of(aligned) == expected(ODD)
+
+
 def test_query_meets_walk(spark):
     import __spark_entry__
 
