@@ -70,6 +70,19 @@ def test_smoothing_by_first_token_equals_its_definition(spark, monkeypatch):
             assert all(abs(got[pair] - want[pair]) < 1e-9 for pair in want)
 
 
+def test_a_chunk_is_told_of_its_own_pairs_only(spark, monkeypatch):
+    """A token with many windows and many partners: no row holds all of its pairs."""
+    lines = [["a", f"x{i}", "a", f"y{i}"] for i in range(60)]
+    df = spark.createDataFrame([(line,) for line in lines], "tokens array<string>").repartition(3)
+    monkeypatch.setattr(cooccurrence, "CHUNK_WINDOWS", 16)
+    written, plans = cooccurrence.cut, []
+    monkeypatch.setattr(cooccurrence, "cut", lambda t: (plans.append(t._jdf.queryExecution().toString()), written(t))[1])
+    table = cooccurrence.smooth_cooccurrence(df, n_iter=2, radius=3, limit=25)
+    got, want = {(r["c1"], r["c2"]): r["w"] for r in table.collect()}, _smoothed(lines, 2, 3, False)
+    assert got.keys() == want.keys() and all(abs(got[pair] - want[pair]) < 1e-9 for pair in want)
+    assert len(plans) > 3 and not any("collect_list" in plan for plan in plans)
+
+
 def test_blocks_travel_in_groups(spark, monkeypatch):
     from telemap.operators import neighbors
 
