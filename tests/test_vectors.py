@@ -163,6 +163,29 @@ def test_rows_of_the_sketch_meet_each_slab_once(spark, monkeypatch):
         assert np.allclose(sorted(map(tuple, got.values())), sorted(map(tuple, want[m.any(axis=1)])))
 
 
+def test_slabs_are_multiplied_in_waves(spark, monkeypatch):
+    """Products, also of long rows, are those of one wave, and no table but the result is left."""
+    rng = np.random.default_rng(6)
+    m = np.abs(rng.standard_normal((40, 25))) * (rng.random((40, 25)) < 0.2)
+    m[7] = 1.0
+    m[~m.any(axis=1), 0] = 1.0
+    want = [dense(reduce.truncated_svd(triples(spark, m), 3, power=1), 40)]
+    want.append({r["id"]: r["vec"] for r in reduce.item_vectors(triples(spark, m), 3, power=1).collect()})
+    cut, written = reduce.cut, []
+    monkeypatch.setattr(reduce, "cut", lambda df: written.append(cut(df)) or written[-1])
+    monkeypatch.setattr(reduce, "WAVE_CELLS", 13 * 70)
+    for cells, split in ((30, False), (10, True)):
+        monkeypatch.setattr(reduce, "BLOCK_CELLS", 13 * cells)
+        matrix = reduce.TripleMatrix(triples(spark, m), 13)
+        assert len(matrix.waves) > 2 and matrix.split == split
+        del written[:]
+        assert np.allclose(dense(reduce.truncated_svd(triples(spark, m), 3, power=1), 40), want[0], atol=1e-7)
+        got = {r["id"]: r["vec"] for r in reduce.item_vectors(triples(spark, m), 3, power=1).collect()}
+        assert got.keys() == want[1].keys() and all(np.allclose(got[c], want[1][c], atol=1e-6) for c in got)
+        left = [t for t in written if getattr(t, "_cut_path", None)]
+        assert len(written) > 15 and len(left) == (4 if split else 2)  # results, and the sizes of long rows
+
+
 def test_folded_vectors_equal_explicit_product(spark):
     rng = np.random.default_rng(4)
     m = np.abs(rng.standard_normal((50, 20))) * (rng.random((50, 20)) < 0.3)
