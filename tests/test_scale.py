@@ -70,6 +70,29 @@ def test_smoothing_by_first_token_equals_its_definition(spark, monkeypatch):
             assert all(abs(got[pair] - want[pair]) < 1e-9 for pair in want)
 
 
+def test_windows_travel_packed(spark, monkeypatch):
+    """Windows go to buckets as numbers; small tasks, buckets and sums give the same pairs."""
+    rng = np.random.default_rng(7)
+    lines = [[None if v == 9 else f"w{int(v)}" for v in rng.zipf(1.5, n) % 14] for n in rng.integers(0, 40, 30)] + [["w1"], []]
+    df = spark.createDataFrame([(line,) for line in lines], "tokens array<string>").repartition(3)
+    want: dict = {}
+    for line in lines:
+        for i, c1 in enumerate(line):
+            for d, c2 in enumerate(line[i + 1 : i + 5], 1):
+                if c1 is not None and c2 is not None:
+                    one, two = want.get((c1, c2), (0.0, 0.0))
+                    want[c1, c2] = one + 1.0, two + 1.0 / d
+    for windows, limit in ((1_000_000, 500_000), (20, 500_000), (20, 25)):
+        monkeypatch.setattr(cooccurrence, "PACK_WINDOWS", windows)
+        monkeypatch.setattr(cooccurrence, "BUCKET_WINDOWS", windows)
+        table = cooccurrence.windowed_cooccurrence(df, radius=4, kernel=cooccurrence.KERNELS, limit=limit)
+        assert "hashpartitioning(bucket" in table._jdf.queryExecution().executedPlan().toString()
+        rows = [r for r in table.collect() if r["c1"] is not None]
+        got = {(r["c1"], r["c2"]): (r["flat"], r["harmonic"]) for r in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys()
+        assert all(np.allclose(got[pair], want[pair]) for pair in want)
+
+
 def test_a_chunk_is_told_of_its_own_pairs_only(spark, monkeypatch):
     """A token with many windows and many partners: no row holds all of its pairs."""
     lines = [["a", f"x{i}", "a", f"y{i}"] for i in range(60)]
