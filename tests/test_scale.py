@@ -86,7 +86,7 @@ def test_windows_travel_packed(spark, monkeypatch):
         monkeypatch.setattr(cooccurrence, "PACK_WINDOWS", windows)
         monkeypatch.setattr(cooccurrence, "BUCKET_WINDOWS", windows)
         table = cooccurrence.windowed_cooccurrence(df, radius=4, kernel=cooccurrence.KERNELS, limit=limit)
-        assert "hashpartitioning(bucket" in table._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(t0_bucket" in table._jdf.queryExecution().executedPlan().toString()
         rows = [r for r in table.collect() if r["c1"] is not None]
         got = {(r["c1"], r["c2"]): (r["flat"], r["harmonic"]) for r in rows}
         assert len(rows) == len(got) and got.keys() == want.keys()
